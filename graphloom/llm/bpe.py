@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, raw_texts
-from graphloom.llm.tokens import groups
+from graphloom.llm.tokens import chunks_of, groups
 
 #: White space as the vocabulary's splitter knows it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -157,7 +157,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for b in batches:
             at = 0
             for part in groups(raw_texts(b, "text"), OUT_BYTES // 2):
-                chunked = [x.split() for x in part]
+                chunked = [chunks_of(x) for x in part]
                 known = bpe.learn(chunked)
                 n, ids, texts = [], [], []
                 for c in chunked:

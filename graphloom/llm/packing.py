@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import raw_texts
-from graphloom.llm.tokens import chunk_cache, groups
+from graphloom.llm.tokens import chunk_cache, chunks_of, groups
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections grow with n, attention with its square).
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -107,7 +107,7 @@ def pack(
             kind = b.schema.field(0).type
             at, own = 0, b.column(0).to_pylist()
             for part in groups(raw_texts(b, "text")):
-                chunked = [x.split() for x in part]
+                chunked = [chunks_of(x) for x in part]
                 known = cache.learn(chunked)
                 for c in chunked:
                     x = b"".join(map(known.__getitem__, c)) + end

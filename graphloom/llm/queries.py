@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing, tokens
+from graphloom.llm import bpe, neardup, packing, substrings, tokens, toxicity
 from graphloom.llm.common import read
 
 #: File of the public vocabulary; its folder is found at run time and is a parameter of each operator.
@@ -24,6 +24,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, changes = substrings.repeated(read(spark, sf_dir, "documents"), window=50)
+    lost = changes.select("doc_id", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return base.select("doc_id", "n_words", "sha").join(lost, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
     return made.select(
@@ -39,9 +45,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    made = toxicity.scored(docs.select("doc_id", "text"), toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return made.select("doc_id", toxicity.in_fold("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_repeats": op4_repeats,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE: dict[str, str] = {}

@@ -15,6 +15,7 @@ TEXTS = [
     (8, "<|endoftext|>a<|startoftext|> İΣAS Σ café   \x1c\x85 힣가 'LL don't"),
     (None, "no id but text"),
     (9, "日本語の文 \U0001f600\U0001f600 á́ ẛ̣ ǅ ß Å"),
+    (9, "H̱ K̨ The END. End,, (a). b\x22! 9. é. …, ﬁ! x’. don't!!! A̱**"),
     (10, "tie"),
     (11, "tie"),
 ]
