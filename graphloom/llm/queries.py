@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, neardup, packing, substrings, tokens, toxicity
+from graphloom.llm import bpe, jpeg, licenses, neardup, packing, pii, substrings, tokens, toxicity, vectors
 from graphloom.llm.common import read
 
 #: File of the public vocabulary; its folder is found at run time and is a parameter of each operator.
@@ -20,6 +20,25 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the surrogates; a deployment passes its own.
+KEY = b"graphloom surrogate key"
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = licenses.scan(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("licenses.license"))).alias("license_ids"),
+        F.concat_ws("; ", F.flatten("licenses.differences")).alias("differences"),
+    )
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), KEY, with_entities=True)
+    return made.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("pii_entities.type"))).alias("entity_types"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
@@ -30,6 +49,11 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", "n_words", "sha").join(lost, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = read(spark, sf_dir, "embeddings")
+    return vectors.nearest(all_, all_.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
     return made.select(
@@ -55,12 +79,30 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = jpeg.media(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%dx3:%08x", "height", "width", F.crc32("rgb")).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_token_counts": op2_token_counts,
+    "op3_surrogates": op3_surrogates,
     "op4_repeats": op4_repeats,
+    "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 ORACLE: dict[str, str] = {}

@@ -60,22 +60,24 @@ class Model:
         return self.__dict__ | {"_index": None, "_chunks": {}, "_known": {}}
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of a whole text; empty where it has none of the terms."""
+        """The unit TF-IDF vector of a whole text; empty where it has none of the terms. Words that are no term count
+        together as one term of every document, so that few terms among many words point elsewhere than many among few."""
         chunks, known = text.split(), self._chunks
         for c in set(chunks).difference(known):
             if len(known) >= CACHE_WORDS:
                 known.clear()
-                return self.vector(text) if len(set(chunks)) < CACHE_WORDS else self._count([t for x in chunks for t in self._terms(x)])
+                return self.vector(text) if len(set(chunks)) < CACHE_WORDS else self._count([t for x in chunks for t in self._terms(x)], len(chunks))
             known[c] = self._terms(c)
-        return self._count([t for ts in filter(None, map(known.__getitem__, chunks)) for t in ts])
+        return self._count([t for ts in filter(None, map(known.__getitem__, chunks)) for t in ts], len(chunks))
 
     def _terms(self, chunk: bytes) -> tuple[int, ...]:
         return tuple(self.terms[t] for t in terms_of(chunk) if t in self.terms)
 
-    def _count(self, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _count(self, found: list[int], words: int) -> tuple[np.ndarray, np.ndarray]:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        t, n = np.unique(np.asarray(found), return_counts=True)
+        t, n = np.unique(np.asarray([*found, len(self.terms)]), return_counts=True)
+        n[-1] = words
         w = (1 + np.log(n)) * self.idf[t]
         return t, w / math.sqrt(float(w @ w))
 
@@ -166,7 +168,7 @@ def _learned_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), pa.array([y] * len(names[i : i + 50_000]), pa.int32()), pa.array(values[i : i + 50_000], pa.int64())], names=["term", "toxic", "n"])
 
     p = n[1] / (n[0] + n[1])
-    found = (
+    z = (
         sample.mapInArrow(run, "term string, toxic int, n long")
         .groupBy("term")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("t"))
@@ -175,7 +177,13 @@ def _learned_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
         .orderBy(F.desc("z"), "term")
         .limit(TERMS)
     )
-    return sorted(r.term for r in found.select("term").collect())
+    # of a word and its beginnings only the most significant one stays (the longest among equals)
+    kept: list[str] = []
+    for r in sorted(z.select("term", "z").collect(), key=lambda r: (-r.z, -len(r.term), r.term)):
+        t = r.term.rstrip("~")
+        if not any(t.startswith(x.rstrip("~")) or x.rstrip("~").startswith(t) for x in kept):
+            kept.append(r.term)
+    return sorted(kept)
 
 
 def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.ndarray]:
@@ -188,7 +196,7 @@ def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.
         for b in batches:
             for x in raw_texts(b, "text"):
                 n += 1
-                df[m.vector(x)[0]] += 1
+                df[m.vector(x)[0]] += 1  # the last entry, of other words, is set below
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
 
@@ -237,9 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n[0] or not n[1]:
         return Model({}, np.zeros(0), base=float(bool(n[1])))
     terms = _learned_terms(rows.select("text", "toxic"), n)
-    model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms)))
+    model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms) + 1))
     count, df = _frequencies(docs, text_col, model)
-    model = Model(model.terms, np.log((1 + count) / (1 + df)) + 1)
+    model = Model(model.terms, np.append(np.log((1 + count) / (1 + df)) + 1, 1.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +264,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = made[~blank]
     model.rows = [(np.asarray(t, np.int64), np.asarray(w)) for t, w in zip(held["terms"], held["weights"])]
     model.labels, model.ids = held["toxic"].to_numpy(float), held["doc_id"].to_numpy(np.int64)
-    if len(model.rows):
-        votes = np.array([model.vote(t, w, but=i)[0] for i, (t, w) in enumerate(model.rows)])
-        model.curve = _isotonic(votes, model.labels, model.base)
+    # examples without any term are all alike: as many as a vote can take stand for them, with their base rate as label
+    plain = min(NEIGHBOURS + 1, int(blank.sum()))
+    model.rows += [(np.array([len(terms)]), np.ones(1))] * plain
+    model.labels = np.append(model.labels, np.full(plain, model.base))
+    model.ids = np.append(model.ids, made["doc_id"][blank].to_numpy(np.int64)[:plain])
+    if len(model.rows) > plain:
+        votes = np.array([model.vote(t, w, but=i)[0] for i, (t, w) in enumerate(model.rows[: len(held)])])
+        model.curve = _isotonic(votes, model.labels[: len(held)], model.base)
     return model
 
 
