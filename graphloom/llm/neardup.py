@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import CACHE_WORDS, checkpointed, drop_keys, key_bitmap, maybe_in, pieces, raw_texts
@@ -160,48 +160,59 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
 
 
-#: A bucket of at most so many members is settled at once after the first round; in a larger one about CENTRES members
-#: a round meet all others.
-SMALL, CENTRES = 64, 16
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (rep, n, c) of different components c that may link: exact, by their rarest shingles.
+
+    Of two sets that link, the n - ceil(p n / 100) + 1 rarest shingles of each (one order for all) have one in common; and
+    with u shingles that no other member has, they share at most m = min(n - u, n' - u'), which must reach
+    p (n + n') / (100 + p). Copies of one original that each differ too much have mostly shingles of their own there, so
+    they propose next to nothing, however many they are.
+    """
+    own = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "c", F.explode("shingles").alias("s"))
+    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    each = Window.partitionBy("rep")
+    ranked = (
+        own.join(often, "s", "left")
+        .withColumn("k", F.coalesce("k", F.lit(1)))
+        .withColumn("place", F.row_number().over(each.orderBy("k", "s")))
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .withColumn("u", F.count_if(F.col("k") == 1).over(each))
+        .where("k > 1")
+    )
+    rare = checkpointed(ranked.select("s", "rep", "n", "c", "u"))
+    other = rare.withColumnsRenamed({"rep": "m", "n": "mn", "c": "mc", "u": "mu"})
+    p = F.lit(percent)
+    return (
+        rare.join(other, "s")
+        .where((F.col("c") < F.col("mc")) & ((F.lit(100) + p) * F.least(F.col("n") - F.col("u"), F.col("mn") - F.col("mu")) >= p * (F.col("n") + F.col("mn"))))
+        .select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b"))
+        .distinct()
+    )
 
 
 def link_buckets(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """Confirmed links (a, b) that join everything that links inside buckets join.
 
     First every member of a bucket is proposed to its smallest id: copies of one original are then one component, with
-    one or two distinct pairs each. Buckets that still hold several components go on: members of different components
-    and fitting sizes are proposed, all of them in small buckets, those with some centres in large ones. Centres that
-    have met everybody leave. It ends when no bucket holds two components, so no link between components is lost.
+    one or two distinct pairs each. The members of buckets that still hold several components are joined exactly by their
+    rarest shingles, those of one component not among themselves. So no link between components is lost.
     """
     if members.isEmpty():
         return None
     own = members.select(F.col("rep").alias("id")).distinct()
     near = maybe_in(docs, id_col, key_bitmap(own, "id"))
     sets = checkpointed(shingle_sets(near, id_col, text_col).join(own, "id", "left_semi").dropDuplicates(["id"]))
-    links = component = None
-    turn = 0
-    while True:
-        live = members.withColumn("c", F.col("rep")) if component is None else (
-            members.join(component, members.rep == component.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        )
-        state = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("high"))
-        lot = F.col("rep") == F.col("first") if not turn else (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < CENTRES)
-        open_ = checkpointed(live.join(state.where("low <> high").select("key", "size", "first"), "key").withColumn("centre", lot))
-        centres = open_.where("centre").select("key", F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("c").alias("mc"))
-        pairs = (
-            open_.join(centres, "key")
-            .where((F.col("c") != F.col("mc")) & (F.lit(100) * F.least("n", "mn") >= F.lit(percent) * F.greatest("n", "mn")))
-            .select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b"))
-            .distinct()
-        )
-        new = checkpointed(confirmed(pairs, sets, percent))
-        members = open_.where("NOT centre").select("key", "rep", "n")
-        if not new.isEmpty():
-            links = new if links is None else checkpointed(links.unionByName(new).distinct())
-            component = checkpointed(connected(links, "a", "b"))
-        turn += 1
-        if members.isEmpty():
-            return links
+    first = members.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("m"))
+    fits = F.lit(100) * F.least("n", "m.n") >= F.lit(percent) * F.greatest("n", "m.n")
+    stars = members.join(first, "key").where((F.col("rep") != F.col("m.rep")) & fits).select(F.col("m.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = checkpointed(confirmed(stars, sets, percent))
+    component = checkpointed(connected(links, "a", "b"))
+    placed = members.join(component, members.rep == component.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = checkpointed(placed.join(several, "key", "left_semi").select("rep", "n", "c").distinct())
+    if rest.isEmpty():
+        return links
+    return checkpointed(links.unionByName(confirmed(rare_pairs(rest, sets, percent), sets, percent)).distinct())
 
 
 def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
