@@ -41,6 +41,19 @@ def terms_of(chunk: bytes) -> list[str]:
     return out
 
 
+class _Chunks(dict):
+    """Term numbers of each chunk, filled on demand, started anew when large."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+
+    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[chunk] = tuple(self.terms[t] for t in terms_of(chunk) if t in self.terms)
+        return found
+
+
 @dataclass
 class Model:
     """Examples, terms and calibration; the index is built where it is used."""
@@ -53,7 +66,7 @@ class Model:
     base: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     _index: Index | None = None
-    _chunks: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
+    _chunks: dict = field(default_factory=dict)
     _known: dict[bytes, tuple[float, list]] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -62,16 +75,10 @@ class Model:
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The unit TF-IDF vector of a whole text; empty where it has none of the terms. Words that are no term count
         together as one term of every document, so that few terms among many words point elsewhere than many among few."""
-        chunks, known = text.split(), self._chunks
-        for c in set(chunks).difference(known):
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-                return self.vector(text) if len(set(chunks)) < CACHE_WORDS else self._count([t for x in chunks for t in self._terms(x)], len(chunks))
-            known[c] = self._terms(c)
-        return self._count([t for ts in filter(None, map(known.__getitem__, chunks)) for t in ts], len(chunks))
-
-    def _terms(self, chunk: bytes) -> tuple[int, ...]:
-        return tuple(self.terms[t] for t in terms_of(chunk) if t in self.terms)
+        chunks = text.split()
+        if not self._chunks:
+            self._chunks = _Chunks(self.terms)
+        return self._count([t for ts in filter(None, map(self._chunks.__getitem__, chunks)) for t in ts], len(chunks))
 
     def _count(self, found: list[int], words: int) -> tuple[np.ndarray, np.ndarray]:
         if not found:
@@ -114,32 +121,34 @@ class Index:
         # examples with like terms side by side, so that a block's bound is close
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), -float(rows[i][1].max())))
         self.order = np.array(order, np.int64)
+        self.terms = terms
         self.most = np.zeros((terms, self.blocks), np.float32)
-        self.posts: list[list[dict]] = []
-        post = np.concatenate([rows[i][0] for i in order]) if rows else np.zeros(0, np.int64)
-        where = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in order]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([rows[i][1] for i in order]) if rows else np.zeros(0)
-        np.maximum.at(self.most, (post, where // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        by = np.lexsort((where, post))
-        self.where, self.weight = where[by], weight[by]
-        # where the postings of (term, block) begin
-        key = post[by] * max(1, self.blocks) + self.where // BLOCK
-        self.starts = np.searchsorted(key, np.arange(terms * max(1, self.blocks) + 1))
+        # postings of a block: its own terms, and the weight of each of its examples for each of them
+        self.posts: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in range(self.blocks):
+            own = [rows[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
+            local = np.unique(np.concatenate([t for t, _ in own]))
+            weight = np.zeros((len(own), len(local)))
+            for i, (t, w) in enumerate(own):
+                weight[i, np.searchsorted(local, t)] = w
+            self.posts.append((local, weight))
+            self.most[local, b] = np.nextafter(weight.max(axis=0).astype(np.float32), np.float32(2))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float]]:
         """The k examples of the largest positive cosine (ties: smaller position), exact."""
         if not self.size:
             return []
         bounds = weights @ self.most[terms]
+        query = np.zeros(self.terms)
+        query[terms] = weights
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or (len(best) >= k and bounds[b] < best[k - 1][0] * -1 - 1e-6):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                i, j = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                sums[self.where[i:j] - b * BLOCK] += w * self.weight[i:j]
-            for i in np.flatnonzero(sums > 0):
+            local, weight = self.posts[b]
+            sums = weight @ query[local]
+            floor = -best[k - 1][0] if len(best) >= k else 0.0
+            for i in np.flatnonzero((sums > 0) & (sums >= floor)).tolist():
                 e = int(self.order[b * BLOCK + i])
                 if e != but:
                     best.append((-float(sums[i]), e))
