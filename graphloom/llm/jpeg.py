@@ -11,6 +11,7 @@ byte, so nothing is lost whatever the samples become.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -80,23 +81,16 @@ def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return table
 
 
+_LAST = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
 def _intervals(data: bytes, start: int) -> tuple[list[bytes], int]:
     """The entropy-coded parts between restart markers, unstuffed, and where the next marker is."""
-    parts, at, begin = [], start, start
-    while True:
-        at = data.find(b"\xff", at)
-        if at < 0 or at + 1 >= len(data):
-            parts.append(data[begin:].replace(b"\xff\x00", b"\xff"))
-            return parts, len(data)
-        m = data[at + 1]
-        if m == 0 or m == 0xFF:
-            at += 2 if m == 0 else 1
-        elif 0xD0 <= m <= 0xD7:
-            parts.append(data[begin:at].replace(b"\xff\x00", b"\xff"))
-            at = begin = at + 2
-        else:
-            parts.append(data[begin:at].replace(b"\xff\x00", b"\xff"))
-            return parts, at
+    m = _LAST.search(data, start)
+    end = m.start() if m else len(data)
+    parts = _RESTART.split(data[start:end])
+    return [p.replace(b"\xff\x00", b"\xff") if b"\xff" in p else p for p in parts], end
 
 
 class Image:
@@ -108,6 +102,7 @@ class Image:
         self.quant: dict[int, np.ndarray] = {}
         self.tables: dict[tuple[int, int], dict] = {}
         self.components: list[Component] = []
+        self.orders: dict[tuple, tuple] = {}
         self.comment, self.restart, self.width, self.height, self.progressive, self.adobe = b"", 0, 0, 0, False, None
         at = 2
         while at < len(data):
@@ -172,6 +167,12 @@ class Image:
 
     def _order(self, own: list[Component]) -> tuple[np.ndarray, np.ndarray, int]:
         """Which component's and block's turn it is, flat, and the number of blocks of a unit."""
+        key = tuple(c.ident for c in own)
+        if key not in self.orders:
+            self.orders[key] = self._make_order(own)
+        return self.orders[key]
+
+    def _make_order(self, own: list[Component]) -> tuple[np.ndarray, np.ndarray, int]:
         if len(own) == 1:
             c = own[0]
             cols = -(-(-(-self.width * c.h // self.hmax)) // 8)
@@ -192,6 +193,8 @@ class Image:
         if len(parts) != -(-len(where) // per) or not self.progressive:
             return False
         n = len(where)
+        if len(own) == 1 and self._even(parts, own[0], where, first, last, high, low):
+            return True
         begin = np.concatenate([[0], np.cumsum([8 * len(p) for p in parts])])[:-1]
         within = np.arange(n) % per
         start = np.repeat(begin, per)[:n]
@@ -240,6 +243,40 @@ class Image:
             return True
         return False
 
+    def _even(self, parts, c, where, first, last, high, low) -> bool:
+        """The commonest of those: one component, records of one width, blocks in a row."""
+        n = len(where)
+        if n != len(c.blocks) * c.blocks.shape[1]:
+            return False
+        flat, data = c.blocks.reshape(-1, 64), np.frombuffer(b"".join(parts) if len(parts) > 1 else parts[0], np.uint8)
+        table = self.tables.get((0, c.dc) if first == 0 else (1, c.ac), {})
+        if first == 0 and high:
+            if len(parts) > 1:
+                return False
+            flat[:, 0] |= np.unpackbits(data, count=n).astype(np.int32) << low
+            return True
+        if len(table) != 1:
+            return False
+        ((size, _), symbol), = table.items()
+        if first == 0:  # every block an interval of its own
+            if len(parts) != n or len(data) != n * len(parts[0]) or not 0 < symbol <= 8:
+                return False
+            value = _packed(np.unpackbits(data.reshape(n, -1), axis=1)[:, size : size + symbol], symbol)
+            flat[:, 0] = value << low
+            return True
+        if len(parts) > 1:
+            return False
+        width = last - first + 1
+        if not high and 0 < symbol <= 8:
+            bits = np.unpackbits(data, count=n * width * (size + symbol)).reshape(n, width, size + symbol)
+            flat[:, first : last + 1] = _packed(bits[:, :, size:], symbol) << low
+            return True
+        if high and symbol == 0 and flat[:, first : last + 1].min() > 0:
+            bits = np.unpackbits(data, count=n * (size + width)).reshape(n, size + width)
+            flat[:, first : last + 1] += bits[:, size:].astype(np.int32) << low
+            return True
+        return False
+
     def _narrow(self, parts, own, order, first, last, high, low) -> None:
         """Reads a scan code by code."""
         which, where, unit = order
@@ -345,6 +382,13 @@ def _fields(bits: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return np.where(value >> max(0, k - 1) & 1, value, value - (1 << k) + 1) if k else value
 
 
+def _packed(bits: np.ndarray, k: int) -> np.ndarray:
+    """Signed magnitudes from their k <= 8 bits along the last axis."""
+    value = (np.packbits(bits, axis=-1)[..., 0] >> (8 - k)).astype(np.int32)
+    top = bits[..., 0]
+    return value if top.all() else np.where(top, value, value - (1 << k) + 1)
+
+
 def decode(data: bytes) -> np.ndarray:
     """The RGB tensor of a JPEG file, progressive or sequential."""
     return Image(data).rgb()
