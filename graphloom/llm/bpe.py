@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, raw_texts
+from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, claim, raw_texts
 from graphloom.llm.tokens import chunks_of, groups
 
 #: White space as the vocabulary's splitter knows it.
@@ -142,7 +142,9 @@ def model(path: str) -> WordBpe:
     """This worker's model."""
     if path not in _models:
         _models[path] = WordBpe(path)
-    return _models[path]
+    m = _models[path]
+    claim(f"bpe {path}", lambda: (m.words.clear(), m.chunks.clear()))
+    return m
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,23 @@ OUT_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 
 
+_holder: list = ["", lambda: None]
+
+
+def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Says whose caches this worker holds from now on: those of the operator that ran here before are cleared, as workers
+    outlive stages and memory would add up over a pipeline."""
+    if _holder[0] != name:
+        _holder[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another libc: freed memory just stays with the process
+            pass
+    _holder[:] = [name, clear]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

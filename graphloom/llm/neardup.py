@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, checkpointed, drop_keys, key_bitmap, maybe_in, pieces, raw_texts
+from graphloom.llm.common import CACHE_WORDS, checkpointed, claim, drop_keys, key_bitmap, maybe_in, pieces, raw_texts
 from graphloom.llm.components import connected
 
 #: Permutations; each gives two values. Bands of ROWS values: a pair at similarity s shares none with probability
@@ -28,6 +28,9 @@ _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2)
 _words: dict[bytes, int] = {}
 
 
+clear_words = _words.clear
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -81,6 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, n_shingles, a 128-bit digest of its whole set (two longs) and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", _words.clear)
         for b in batches:
             n, d1, d2, keys, lengths = [], [], [], [], []
             for x in raw_texts(b, "text"):
@@ -102,6 +106,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document: id and its full set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", _words.clear)
         for b in batches:
             ids, sets = b.column(0), [shingle_set(x).view(np.int64) for x in raw_texts(b, "text")]
             for i, j in pieces([8 * len(s) for s in sets]):

@@ -16,8 +16,8 @@ from graphloom.llm.tokens import chunk_cache, chunks_of, groups
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections grow with n, attention with its square).
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Tokens that a task gathers before it packs them: 16 MB of ids. Only the last sequence of such a shard can be padded.
-SHARD_TOKENS = 1 << 22
+#: Tokens that a task gathers before it packs them: 8 MB of ids. Only the last sequence of such a shard can be padded.
+SHARD_TOKENS = 1 << 21
 
 
 def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -85,8 +85,8 @@ def pack(
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal first
             found = assign([len(x) // 4 for x in ids], capacity)
-            for i in range(0, len(found), 2048):
-                part = found[i : i + 2048]
+            for i in range(0, len(found), 512):
+                part = found[i : i + 512]
                 doc, start, length, seq, offset = zip(*part)
                 yield pa.RecordBatch.from_arrays(
                     [

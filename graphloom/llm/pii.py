@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import checkpointed, pieces, raw_texts
+from graphloom.llm.common import checkpointed, claim, pieces, raw_texts
 
 #: Redrawn names that a broadcast may carry (some 100 bytes each); four syllables and a given name give 2**33 draws,
 #: so a hundred million distinct names leave about 600 000 to redraw. More than this bound is an error, not a loss.
@@ -295,6 +295,7 @@ def replaced(docs: DataFrame, key: bytes, text_col: str = "text", with_entities:
     columns = [c for c in docs.columns if c != "pii_entities"] if with_entities else docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         s = Surrogates(key, drawn.value)
         for b in batches:
             at = columns.index(text_col)

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpointed, key_bitmap, maybe_in, pieces, raw_texts
-from graphloom.llm.neardup import mix, word_hashes
+from graphloom.llm.common import checkpointed, claim, key_bitmap, maybe_in, pieces, raw_texts
+from graphloom.llm.neardup import clear_words, mix, word_hashes
 
 #: Words of a phrase: half a window, so that phrases shared by chance are rare and a window spans as many starts.
 SHARD_WORDS = 400_000
@@ -89,6 +89,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, window: int, phrase: int
     """Per document: id, n_words, a digest of the word sequence (two longs), sha256 of the words joined by one space, and its selected phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", clear_words)
         for b in batches:
             n, d1, d2, sha, starts, hashes, lengths = [], [], [], [], [], [], []
             for x in raw_texts(b, "text"):

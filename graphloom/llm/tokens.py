@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, raw_texts
+from graphloom.llm.common import CACHE_WORDS, claim, raw_texts
 
 #: Bytes of a batch of chunks that the library encodes at once.
 BATCH_BYTES = 1 << 18
@@ -111,6 +111,7 @@ def chunk_cache(path: str, ids: bool) -> ChunkCache:
     key = f"{path} {ids}"
     if key not in _loaded:
         _loaded[key] = ChunkCache(path, ids)
+    claim(f"tokens {key}", _loaded[key].known.clear)
     return _loaded[key]
 
 

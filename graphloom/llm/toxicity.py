@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, raw_texts
+from graphloom.llm.common import CACHE_WORDS, claim, raw_texts
 
 #: Labelled rows at most that are learned from: those of the smallest hash of the id. And terms at most.
 SAMPLE, TERMS = 16_384, 2_048
@@ -72,6 +72,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_index": None, "_chunks": {}, "_known": {}}
 
+    def forget(self) -> None:
+        """Clears the caches."""
+        self._chunks, self._known = {}, {}
+
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The unit TF-IDF vector of a whole text; empty where it has none of the terms. Words that are no term count
         together as one term of every document, so that few terms among many words point elsewhere than many among few."""
@@ -201,6 +205,7 @@ def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.forget)
         n, df = 0, np.zeros(len(m.terms) + 1, np.int64)
         for b in batches:
             for x in raw_texts(b, "text"):
@@ -295,6 +300,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.forget)
         for b in batches:
             made = [m.score(x) for x in raw_texts(b, text_col)]
             evidence = pa.array([[{"doc_id": i, "cosine": s} for i, s in near] for _, near in made], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))
