@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A record batch that goes back to the JVM is cut near this many bytes.
 OUT_BYTES = 8 << 20
 #: Entries that a worker's word cache holds before it starts anew; words are Zipf-distributed, so the hot ones return at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 _holder: list = ["", lambda: None]
