@@ -1,12 +1,13 @@
 """Licence scans by conditional compression.
 
 A candidate block is compressed plainly and with each licence's wording as a raw zstandard dictionary; the licences are
-ranked by how many bytes their wording saves. The best ranked are confirmed word by word: what differs is listed, and a
-block whose wording differs too much isn't reported.
+ranked by how many bytes their wording saves. All that save any are confirmed word by word: what differs is listed, and
+a block whose wording differs too much isn't reported.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -52,7 +53,7 @@ TEMPLATES: list[tuple[str, str]] = [
 #: A line is a candidate if it holds one of these; a block runs on over lines of licence wording.
 KEYWORDS = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"public domain", b"cc by", b"cc-by", b"spdx")
 #: Words of a block, and of a template, that may differ; words that occur in no licence end a block if they exceed LOOSE of a line.
-MOST_DIFFERENT, LOOSE, RANKED = 0.25, 0.4, 4
+MOST_DIFFERENT, LOOSE = 0.25, 0.4
 _words = regex.compile(r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*")
 
 
@@ -66,6 +67,7 @@ class Scanner:
 
     def __init__(self, templates: list[tuple[str, str]], level: int = 6):
         self.templates = [(name, wording(text)) for name, text in templates]
+        self.counts = [Counter(ws) for _, ws in self.templates]
         self.vocabulary = {w for _, ws in self.templates for w in ws}
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.keyed = []
@@ -106,14 +108,22 @@ class Scanner:
         own = self.templates[i][1]
         matcher = SequenceMatcher(None, own, words, autojunk=False)
         same = [m for m in matcher.get_matching_blocks() if m.size]
-        if not same:
-            return None
-        first, last = same[0].b, same[-1].b + same[-1].size
+        # single words of the template that stand far from the rest don't belong to its wording
+        while len(same) > 1 and sum(m.size for m in same) < (1 - MOST_DIFFERENT) * (same[-1].b + same[-1].size - same[0].b):
+            head, tail = same[1].b - same[0].b - same[0].size, same[-1].b - same[-2].b - same[-2].size
+            same = same[1:] if same[0].size * tail < same[-1].size * head else same[:-1]
         matched = sum(m.size for m in same)
-        if matched < (1 - MOST_DIFFERENT) * len(own) or matched < (1 - MOST_DIFFERENT) * (last - first):
+        if not same or matched < (1 - MOST_DIFFERENT) * len(own):
             return None
-        spots = [op for op in matcher.get_opcodes() if op[0] != "equal" and op[4] > first - 1 and op[3] < last + 1 and not (op[0] == "insert" and (op[3] < first or op[4] > last or op[3] >= last or op[4] <= first))]
-        differences = [f"{' '.join(own[a:b])} -> {' '.join(words[c:d])}" for _, a, b, c, d in spots]
+        first, last = same[0].b, same[-1].b + same[-1].size
+        # words missing at an end of the template are set against as many of the block there
+        a, b, differences = 0, max(0, first - same[0].a), []
+        for m in [*same, None]:
+            x, y = (m.a, m.b) if m else (len(own), min(len(words), last + len(own) - a))
+            b = y if x == a and m in (same[0], None) else b
+            if x > a or y > b:
+                differences.append(f"{' '.join(own[a:x])} -> {' '.join(words[b:y])}")
+            a, b = (m.a + m.size, m.b + m.size) if m else (a, b)
         return {"first": first, "last": last, "matched": matched, "wording": len(own), "differences": differences}
 
     def scan_block(self, block: str) -> list[dict]:
@@ -122,12 +132,13 @@ class Scanner:
             return self.known[block]
         found, left = [], wording(block)
         while len(left) >= 3:
-            best = None
-            for saved, _, i in self.ranked(left)[:RANKED]:
-                if saved > 0 and (c := self.confirm(left, i)):
+            best, there = None, Counter(left)
+            for saved, _, i in self.ranked(left):
+                # a template with too few of its words in the block can't be confirmed
+                if saved > 0 and (self.counts[i] & there).total() >= (1 - MOST_DIFFERENT) * len(self.templates[i][1]) and (c := self.confirm(left, i)):
                     c |= {"license": self.templates[i][0], "saved": saved}
-                    # of those confirmed, the least different wording; then the longer one
-                    rank = (len(c["differences"]) > 0, -c["matched"])
+                    # of those confirmed, the one whose matched words most exceed the different ones
+                    rank = (c["wording"] + c["last"] - c["first"] - 3 * c["matched"], -c["matched"])
                     if best is None or rank < best[0]:
                         best = (rank, c)
             if best is None:

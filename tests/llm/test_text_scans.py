@@ -30,6 +30,18 @@ def test_license_differences():
     assert s.scan(b"") == [] and s.scan(b"license " * 50_000) == []
 
 
+def test_license_at_the_end_of_a_paragraph():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    prose = "The committee met in the spring to look at the work of the past year and to say which of its parts should go on. " * 4 + "Any person who was there may use the notes for a purpose of their own without charge, and the copyright holders were told of it. "
+    known = {"Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the MIT License.": "MIT", "Released under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    for line, want in known.items():
+        for text in (prose + line, line + " " + prose, prose + line + " " + prose):
+            assert [(x["license"], x["differences"]) for x in s.scan(text.encode())] == [(want, [])], (line, s.scan(text.encode()))
+    assert s.scan(prose.encode()) == []
+    (a,) = s.scan((prose + licenses._APACHE.replace("compliance", "accordance") + " " + prose).encode())
+    assert a["license"] == "Apache-2.0" and a["differences"] == ["compliance -> accordance"]
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan(frame(spark)).where("size(licenses) > 0").count() == 0
     assert licenses.scan(frame(spark)).count() == frame(spark).count() and licenses.scan(frame(spark, [])).count() == 0
