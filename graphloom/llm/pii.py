@@ -3,11 +3,13 @@
 Numbers, addresses and secrets go through a keyed permutation of all strings of their own format (a Feistel network
 walked until it lands in the format), so distinct entities can't meet and equal ones stay equal in every document. Names
 are drawn by a keyed hash from names of the same gender and script; those draws can meet, so all distinct names of the
-corpus are checked against each other (and against names that occur), and the later ones are drawn again.
+corpus are checked against each other (and against names that occur), and the later ones are drawn again. Within a
+document the full and short forms of a person's name, with a title or without, share one draw.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 from collections.abc import Iterator
@@ -65,6 +67,8 @@ PATTERNS = [
     ("NAME", regex.compile(_START + r"(?P<t>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.?[ ](?P<v>" + _CAP + r"(?:[ ]" + _CAP + r"){0,2})")),
     ("NAME", regex.compile(r"(?i:my name is|name:|ich heiße|je m'appelle|me llamo|меня зовут)[ ](?P<v>" + _CAP + r"(?:[ ]" + _CAP + r"){0,2})")),
 ]
+_possessive = regex.compile(r"['’]s(?=[ ]|$)")
+_named = regex.compile(_START + _CAP + _END)
 _quick = regex.compile(rb"[0-9@]")
 _titles = [t.encode() for t in _GENDER]
 _spoken = [x.encode() for x in ("y name is", "ame:", "ch heiße", "e m'appelle", "e llamo", "еня зовут")]
@@ -72,6 +76,11 @@ _spoken = [x.encode() for x in ("y name is", "ame:", "ch heiße", "e m'appelle",
 
 def entities(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, str]]:
     """start, end, type, gender of what is found, in order, without overlap."""
+    return [e[:4] for e in detected(text, raw)]
+
+
+def detected(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, str, str, tuple[int, ...]]]:
+    """As entities(), and of names the person's whole name, case-folded, and which of its parts stand there."""
     raw = text.encode() if raw is None else raw
     numeric = _quick.search(raw) is not None
     named = any(t in raw for t in _titles) or any(t in raw for t in _spoken)
@@ -86,10 +95,90 @@ def entities(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, s
             i, j = m.span("v") if "v" in pattern.groupindex else m.span()
             if kind == "SECRET" and not any(c.isdigit() for c in text[i:j]):
                 continue
+            if kind == "NAME" and (own := _possessive.search(text[i:j])):
+                j = i + own.start()
             if all(j <= a or i >= b for a, b in taken):
                 taken.append((i, j))
                 found.append((i, j, kind, _GENDER.get(m["t"], "n") if "t" in pattern.groupindex else "n"))
-    return sorted(found)
+    return sorted(linked(text, found))
+
+
+def _parts_of(whole: tuple[str, ...], form: tuple[str, ...]) -> tuple[int, ...]:
+    """Which parts of a whole name a form has: all, the first and the last, the surname, or the given name; else none."""
+    if form == whole:
+        return tuple(range(len(whole)))
+    if len(form) == 2 and len(whole) > 2 and form == (whole[0], whole[-1]):
+        return 0, len(whole) - 1
+    if len(form) == 1:
+        return (len(whole) - 1,) if form[0] == whole[-1] else (0,) if form[0] == whole[0] else ()
+    return ()
+
+
+def linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str, str, tuple[int, ...]]]:
+    """The entities with names joined to persons, and what else of the text repeats a person's name or a part of it.
+
+    A form belongs to the person of fitting gender mentioned last before it (else next after it) whose name has it; a
+    person has the gender of any of its mentions. Words count as a repeat only if capitalised.
+    """
+    names = [(i, j, g, tuple(text[i:j].casefold().split(" "))) for i, j, kind, g in found if kind == "NAME"]
+    if not names:
+        return [(*e, "", ()) for e in found]
+    people: list[tuple[tuple[str, ...], list[str], list[int]]] = []  # whole name, gender, places
+    having: dict[tuple[str, ...], list[int]] = {}
+    whose: dict[int, int] = {}
+
+    def nearest(form: tuple[str, ...], gender: str, at: int) -> int | None:
+        best = None
+        for p in having.get(form, ()):
+            if gender == "n" or people[p][1][0] in ("n", gender):
+                places = people[p][2]
+                k = bisect.bisect_right(places, at)
+                far = (0, at - places[k - 1], p) if k else (1, places[0] - at, p)
+                best = far if best is None or far < best else best
+        return None if best is None else best[2]
+
+    # whole names before their short forms, and those of known gender before the others
+    for i, _, g, form in sorted(names, key=lambda n: (-len(n[3]), n[2] == "n", n[0])):
+        p = nearest(form, g, i)
+        if p is None:
+            p = len(people)
+            people.append((form, [g], []))
+            for own in {form, (form[0], form[-1]) if len(form) > 2 else form, form[:1], form[-1:]}:
+                having.setdefault(own, []).append(p)
+        elif g != "n":
+            people[p][1][0] = g
+        bisect.insort(people[p][2], i)
+        whose[i] = p
+    out = []
+    for i, j, kind, g in found:
+        if kind == "NAME":
+            whole, gender, _ = people[whose[i]]
+            out.append((i, j, kind, gender[0], " ".join(whole), _parts_of(whole, tuple(text[i:j].casefold().split(" ")))))
+        else:
+            out.append((i, j, kind, g, "", ()))
+    taken = sorted((i, j) for i, j, _, _ in found)
+    words = []
+    for m in _named.finditer(text):
+        i, j = m.span()
+        words.append((i, j - 2 if text[j - 2 : j] in ("'s", "’s") else j))
+    k = 0
+    while k < len(words):
+        for n in (3, 2, 1):
+            part = words[k : k + n]
+            i, j = part[0][0], part[-1][1]
+            form = tuple(text[a:b].casefold() for a, b in part)
+            if len(part) < n or form not in having or any(text[a[1] : b[0]].strip() or a[1] == b[0] for a, b in zip(part, part[1:])):
+                continue
+            t = bisect.bisect_left(taken, (j, 0))
+            if t and taken[t - 1][1] > i:
+                continue
+            whole, gender, _ = people[p := nearest(form, "n", i)]
+            out.append((i, j, "NAME", gender[0], " ".join(whole), _parts_of(whole, form)))
+            bisect.insort(people[p][2], i)
+            k += n - 1
+            break
+        k += 1
+    return out
 
 
 class Surrogates:
@@ -171,6 +260,13 @@ class Surrogates:
             out.append(made.upper() if len(p) > 1 and p.isupper() else made)
         return " ".join(out)
 
+    def mention(self, text: str, whole: str, gender: str, parts: tuple[int, ...]) -> str:
+        """What stands for a form of a person's name: those parts of the whole name's surrogate, spaced and capitalised alike."""
+        made, out = self.of(whole, "NAME", gender).split(" "), regex.split(r"(\s+)", text)
+        for n, k in enumerate(parts):
+            out[2 * n] = made[k].upper() if len(out[2 * n]) > 1 and out[2 * n].isupper() else made[k]
+        return "".join(out)
+
     def of(self, text: str, kind: str, gender: str = "n") -> str:
         """The surrogate of an entity."""
         key = (text, kind, gender)
@@ -262,7 +358,7 @@ def redraws(docs: DataFrame, key: bytes, text_col: str = "text") -> dict[str, in
             for raw in raw_texts(b, "text"):
                 if any(t in raw for t in _titles) or any(t in raw for t in _spoken):
                     x = raw.decode()
-                    found |= {(g, x[i:j].casefold()) for i, j, k, g in entities(x, raw) if k == "NAME"}
+                    found |= {(g, whole) for _, _, k, g, whole, _ in detected(x, raw) if k == "NAME"}
             g, n = zip(*sorted(found)) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.string())], names=["gender", "name"])
 
@@ -303,10 +399,10 @@ def replaced(docs: DataFrame, key: bytes, text_col: str = "text", with_entities:
             texts, marks, sizes = [], [], []
             for x in raw:
                 own, text = [], None if x is None else x
-                if x is not None and (found := entities(x.decode(), x)):
+                if x is not None and (found := detected(x.decode(), x)):
                     old, out, last, total = x.decode(), [], 0, 0
-                    for i, j, kind, gender in found:
-                        new = s.of(old[i:j], kind, gender)
+                    for i, j, kind, gender, whole, parts in found:
+                        new = s.mention(old[i:j], whole, gender, parts) if whole else s.of(old[i:j], kind, gender)
                         out += [old[last:i], new]
                         total += i - last
                         own.append({"type": kind, "start": total, "end": total + len(new)})

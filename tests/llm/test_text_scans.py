@@ -75,6 +75,19 @@ def test_types_formats_and_coreference():
     assert pii._iban_check(iban[:2] + "00" + iban[4:]) == iban[2:4]
 
 
+def test_forms_of_a_name_share_a_surrogate(spark):
+    text = "Mr. John Smith met Ms. Jane Smith. John Smith left. Mr. Smith slept; Dr. John\nSmith's dog and Dr. John Smith too. Smith and JOHN SMITH. Ms. Smith's car, John’s coat, Jane said. A smith. Smithson."
+    made = pii.replaced(frame(spark, [(1, text), (2, "Dr. Ada Lind spoke. Mrs. Lind left. Ada Lind slept.")], more=False), KEY, with_entities=True).collect()
+    out, other = (r.text for r in made)
+    he, she = re.fullmatch(r"Mr\. (\w+ \w+) met Ms\. (\w+ \w+)\..*", out, re.S).groups()
+    (a, b), (c, d) = he.split(), she.split()
+    assert a in pii._GIVEN["Latin", "m"] and c in pii._GIVEN["Latin", "f"] and b != d
+    assert out == f"Mr. {a} {b} met Ms. {c} {d}. {a} {b} left. Mr. {b} slept; Dr. {a}\n{b}'s dog and Dr. {a} {b} too. {b} and {a.upper()} {b.upper()}. Ms. {d}'s car, {a}’s coat, {c} said. A smith. Smithson."
+    assert [out[e.start : e.end] for e in made[0].pii_entities][:3] == [he, she, he]
+    ada, lind = re.match(r"Dr\. (\w+) (\w+) spoke", other).groups()
+    assert other == f"Dr. {ada} {lind} spoke. Mrs. {lind} left. {ada} {lind} slept." and ada in pii._GIVEN["Latin", "f"]
+
+
 def test_permutations_are_distinct():
     s = pii.Surrogates(KEY)
     assert sorted(s.permute(x, 1000, "t") for x in range(1000)) == list(range(1000))
