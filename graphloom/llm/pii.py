@@ -10,8 +10,10 @@ document the full and short forms of a person's name, with a title or without, s
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import hmac
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -190,24 +192,34 @@ class Surrogates:
     def digest(self, *parts: object) -> bytes:
         return hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()
 
-    def permute(self, x: int, size: int, tweak: str) -> int:
-        """A keyed permutation of range(size): eight Feistel rounds over the next even number of bits, walked until inside."""
+    def permute(self, x: int, size: int, tweak: str, back: bool = False) -> int:
+        """A keyed permutation of range(size), or its inverse: eight Feistel rounds over the next even number of bits, walked
+        until inside."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
         while True:
             a, b = x >> half, x & mask
-            for r in range(8):
-                a, b = b, a ^ (int.from_bytes(self._round(tweak, size, r, b, half), "big") & mask)
+            for r in reversed(range(8)) if back else range(8):
+                if back:
+                    a, b = b ^ (int.from_bytes(self._round(tweak, size, r, a, half), "big") & mask), a
+                else:
+                    a, b = b, a ^ (int.from_bytes(self._round(tweak, size, r, b, half), "big") & mask)
             x = a << half | b
             if x < size:
                 return x
 
+    def moved(self, x: int, size: int, tweak: str) -> int:
+        """A keyed permutation of range(size) that is one cycle: it moves every number, and so does a walk along it to the
+        next number of any kind that has two."""
+        return self.permute((self.permute(x, size, tweak) + 1) % size, size, tweak, back=True)
+
     def _round(self, tweak: str, size: int, r: int, b: int, half: int) -> bytes:
         d = self.digest(tweak, size, r, b)
         return d if half <= 256 else b"".join(self.digest(tweak, size, r, b, i) for i in range(-(-half // 256)))
 
     def shaped(self, text: str, tweak: str, fits=lambda s: True) -> str:
-        """The text under a permutation of all texts of its shape: each letter or digit varies in its class, the rest stays."""
+        """The text under a permutation of all texts of its shape that moves each of them: each letter or digit varies in its
+        class, the rest stays."""
         letters = [c for c in text if c.isalnum()]
         hexes = len(letters) >= 32 or tweak in ("MAC", "IPV6")
         hexed = hexes and all(c in "0123456789abcdef" for c in letters)
@@ -219,17 +231,19 @@ class Surrogates:
             elif hexed_up and c.isalnum():
                 classes.append("0123456789ABCDEF")
             else:
-                classes.append(next((k for k in _CLASSES if c in k), ""))
+                classes.append(_class_of(c))
+        if not any(classes):  # a secret of marks only
+            classes = [_MARKS if c in _MARKS else "" for c in text]
         mask = "".join("." if k else c for c, k in zip(text, classes)) + "".join(k[:1] for k in classes)
         size, x = 1, 0
         for c, k in zip(text, classes):
             if k:
                 size *= len(k)
-                x = x * len(k) + k.index(c)
+                x = x * len(k) + (k.index(c) if len(k) < 64 else bisect.bisect_left(k, c))
         if size == 1:
             return text
         while True:
-            x = self.permute(x, size, f"{tweak} {mask}")
+            x = self.moved(x, size, f"{tweak} {mask}")
             y, out = x, []
             for c, k in zip(reversed(text), reversed(classes)):
                 if k:
@@ -287,10 +301,10 @@ class Surrogates:
             x = sum(int(p) << s for p, s in zip(text.split("."), (24, 16, 8, 0)))
             block = next(((b, m) for b, m in _PRIVATE if x & ~((1 << m) - 1) == b), None)
             if block:
-                x = block[0] | self.permute(x & ((1 << block[1]) - 1), 1 << block[1], f"ip {block[0]}")
+                x = block[0] | self.moved(x & ((1 << block[1]) - 1), 1 << block[1], f"ip {block[0]}")
             else:
                 while True:
-                    x = self.permute(x, 1 << 32, "ip")
+                    x = self.moved(x, 1 << 32, "ip")
                     if all(x & ~((1 << m) - 1) != b for b, m in _PRIVATE):
                         break
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
@@ -325,6 +339,36 @@ class Surrogates:
 
 
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "äöüßéèêëçñóíáúâîôûàùïœæåø", "ÄÖÜÉÈÊËÇÑÓÍÁÚÂÎÔÛÀÙÏŒÆÅØ"]
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+@functools.cache
+def _other_classes() -> dict[tuple, str]:
+    """Letters and digits outside _CLASSES by script (as named by Unicode), category and block; in order."""
+    made: dict[tuple, list[str]] = {}
+    for n in range(0x30000):
+        if (c := chr(n)).isalnum() and (k := _class_key(c)):
+            made.setdefault(k, []).append(c)
+    return {k: "".join(v) for k, v in made.items()}
+
+
+def _class_key(c: str) -> tuple | None:
+    """The script, category and block of a letter or digit outside _CLASSES: the block tells usual from rare letters."""
+    if any(c in k for k in _CLASSES) or not (name := unicodedata.name(c, "")):
+        return None
+    return name.split()[0], unicodedata.category(c), sum(ord(c) >= n for n in (0x250, 0x1E00, 0x4E00, 0xA000, 0xAC00, 0xD7A4, 0x10000))
+
+
+@functools.lru_cache(1 << 16)
+def _class_of(c: str) -> str:
+    """The characters that may stand for one: of its alphabet, script or, where it is alone in that, its category."""
+    known = next((k for k in _CLASSES if c in k), "")
+    if known or not c.isalnum() or not (key := _class_key(c)):
+        return known
+    own = _other_classes().get(key, "")
+    return own if len(own) > 1 else "".join(sorted(x for k, x in _other_classes().items() if k[1] == key[1] and len(x) == 1))
+
+
 _PRIVATE = [(10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (127 << 24, 24), (0, 24), (169 << 24 | 254 << 16, 16), (224 << 24, 29)]
 
 

@@ -88,6 +88,23 @@ def test_forms_of_a_name_share_a_surrogate(spark):
     assert other == f"Dr. {ada} {lind} spoke. Mrs. {lind} left. {ada} {lind} slept." and ada in pii._GIVEN["Latin", "f"]
 
 
+def test_no_surrogate_is_its_entity():
+    import unicodedata
+
+    s = pii.Surrogates(KEY)
+    script = lambda t: [unicodedata.name(c).split()[0] if c.isalpha() else c for c in t]
+    for x in ["李明@例子.公司", "علي@مثال.شركة", "דוד@דוגמה.קום", "łőžšč@łő.pl", "ก@ไทย.ไทย", "a@b.co", *[f"{a}@{b}.org" for a in "abcdefghij" for b in "klmnopqrst"]]:
+        ((i, j, kind, _),) = pii.entities(f"({x})")
+        assert kind == "EMAIL" and (i, j) == (1, 1 + len(x))
+        made = s.of(x, "EMAIL")
+        assert all(p != q for p, q in zip(x.split(".")[0].split("@"), made.split(".")[0].split("@"))), (x, made)
+        assert script(x) == script(made) and len(pii.entities(f"({made})")) == 1
+    assert len({s.shaped(a + b, "t") for a in "李明王" for b in "אבł"}) == 9
+    moved = [s.moved(x, 1000, "t") for x in range(1000)]
+    assert sorted(moved) == list(range(1000)) and all(x != y for x, y in enumerate(moved))
+    assert all(s.permute(s.permute(x, 77, "t"), 77, "t", back=True) == x for x in range(77))
+
+
 def test_permutations_are_distinct():
     s = pii.Surrogates(KEY)
     assert sorted(s.permute(x, 1000, "t") for x in range(1000)) == list(range(1000))
