@@ -13,6 +13,7 @@ import bisect
 import functools
 import hashlib
 import hmac
+import ipaddress
 import unicodedata
 from collections.abc import Iterator
 
@@ -55,11 +56,12 @@ PATTERNS = [
     ("EMAIL", regex.compile(_START + r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}")),
     ("SECRET", regex.compile(r"(?<![\p{L}\p{N}_-])(?:sk[-_](?:live[-_]|test[-_])?|gh[pousr]_|github_pat_|AKIA|ASIA|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_-]{12,}")),
     ("SECRET", regex.compile(r"(?<![\p{L}\p{N}_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?")),
+    ("SECRET", regex.compile(r"""(?i)(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|secret)["']?[ \t]{0,4}(?:=>|:=|==|[:=])[ \t]{0,4}(?:"(?P<v>[^"\s]+)"|'(?P<v>[^'\s]+)'|(?P<v>\S+?)(?=[.,;:)\]}>"']*(?:\s|$)))""")),
     ("SECRET", regex.compile(r"(?i)(?<![\p{L}\p{N}])(?:api[ _-]?key|key|secret|token|password|passwd|pwd)\W{0,8}\s?[:=]\W{0,8}?[\"']?(?P<v>[A-Za-z0-9_+/~-]{8,}=*)")),
     ("SECRET", regex.compile(_START + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END)),
     ("IBAN", regex.compile(_START + r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _END)),
     ("MAC", regex.compile(_START + r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}" + _END)),
-    ("IPV6", regex.compile(r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])")),
+    ("IPV6", regex.compile(r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:(?:[0-9A-Fa-f]{1,4}:){1,7}|:):(?:[0-9A-Fa-f]{1,4}:)*(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4})?|(?:[0-9A-Fa-f]{1,4}:){6}(?:\d{1,3}\.){3}\d{1,3})(?![\p{L}\p{N}:]|\.\d)")),
     ("IPV4", regex.compile(r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)")),
     ("CARD", regex.compile(_START + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|3[47]\d{2}[ -]\d{6}[ -]\d{5})" + _END)),
     ("SSN", regex.compile(_START + r"\d{3}-\d{2}-\d{4}" + _END)),
@@ -69,9 +71,12 @@ PATTERNS = [
     ("NAME", regex.compile(_START + r"(?P<t>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.?[ ](?P<v>" + _CAP + r"(?:[ ]" + _CAP + r"){0,2})")),
     ("NAME", regex.compile(r"(?i:my name is|name:|ich heiße|je m'appelle|me llamo|меня зовут)[ ](?P<v>" + _CAP + r"(?:[ ]" + _CAP + r"){0,2})")),
 ]
+#: Says outright that a secret follows: with or without digits.
+_LABELLED = next(p for _, p in PATTERNS if "passphrase" in p.pattern)
+_labels = regex.compile(rb"(?i)passw|pwd|passphrase|secret")
 _possessive = regex.compile(r"['’]s(?=[ ]|$)")
 _named = regex.compile(_START + _CAP + _END)
-_quick = regex.compile(rb"[0-9@]")
+_quick = regex.compile(rb"[0-9@]|::")
 _titles = [t.encode() for t in _GENDER]
 _spoken = [x.encode() for x in ("y name is", "ame:", "ch heiße", "e m'appelle", "e llamo", "еня зовут")]
 
@@ -86,16 +91,19 @@ def detected(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, s
     raw = text.encode() if raw is None else raw
     numeric = _quick.search(raw) is not None
     named = any(t in raw for t in _titles) or any(t in raw for t in _spoken)
-    if not numeric and not named:
+    labelled = _labels.search(raw) is not None
+    if not numeric and not named and not labelled:
         return []
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
     for kind, pattern in PATTERNS:
-        if not (named if kind == "NAME" else numeric or kind == "SECRET"):
+        if not (named if kind == "NAME" else labelled if pattern is _LABELLED else numeric):
             continue
         for m in pattern.finditer(text):
             i, j = m.span("v") if "v" in pattern.groupindex else m.span()
-            if kind == "SECRET" and not any(c.isdigit() for c in text[i:j]):
+            if kind == "SECRET" and pattern is not _LABELLED and not any(c.isdigit() for c in text[i:j]):
+                continue
+            if kind == "IPV6" and not _is_ipv6(text[i:j]):
                 continue
             if kind == "NAME" and (own := _possessive.search(text[i:j])):
                 j = i + own.start()
@@ -105,6 +113,15 @@ def detected(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, s
     return sorted(linked(text, found))
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether it is an address, with a digit or groups of four, so that a::b of a program isn't."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return text.count(":") == 7 or any(c.isdigit() for c in text) or all(len(x) == 4 for x in text.split(":") if x) and any(text.split(":"))
+
+
 def _parts_of(whole: tuple[str, ...], form: tuple[str, ...]) -> tuple[int, ...]:
     """Which parts of a whole name a form has: all, the first and the last, the surname, or the given name; else none."""
     if form == whole:
@@ -333,6 +350,9 @@ class Surrogates:
         if kind == "NUMBER":
             first = text[0] == "0"
             return self.shaped(text, "number", lambda s: (s[0] == "0") == first)
+        if kind == "IPV6" and "." in text:  # the IPv4 address at the end is what varies
+            head, _, tail = text.rpartition(":")
+            return f"{head}:{self.of(tail, 'IPV4')}"
         if kind in ("MAC", "IPV6"):  # their letters are digits: one case for the permutation
             return self.shaped(text.lower(), kind).upper() if text.isupper() else self.shaped(text.lower(), kind)
         return self.shaped(text, kind)

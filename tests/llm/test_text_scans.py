@@ -105,6 +105,24 @@ def test_no_surrogate_is_its_entity():
     assert all(s.permute(s.permute(x, 77, "t"), 77, "t", back=True) == x for x in range(77))
 
 
+def test_compressed_addresses_and_labelled_secrets():
+    s = pii.Surrogates(KEY)
+    for kind, values in {"IPV6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.128", "2001:0db8:0000:0000:0000:ff00:0042:8329", "2001:DB8::8:800:200C:417A", "2001:db8::"]}.items():
+        for x in values:
+            for text in (f"at {x}, then", f"[{x}]", f"{x}."):
+                ((i, j, k, _),) = pii.entities(text)
+                assert (k, text[i:j]) == (kind, x), (text, pii.entities(text))
+            made = s.of(x, kind)
+            assert made != x and len(pii.entities(f"at {made}, then")) == 1, made
+    assert pii.entities("std::vector a::b x12::find at 12:30:45 or 1::2::3 ::") == []
+    for text, x in {"password: p@ssw0rd!23": "p@ssw0rd!23", "Password = correcthorse, he said": "correcthorse", '{"client_secret": "ab-c.d/e", "n": 1}': "ab-c.d/e", "pwd:x7": "x7", "secret: !!??": "!!??", "passwd='öäü$'.": "öäü$"}.items():
+        ((i, j, k, _),) = pii.entities(text)
+        assert (k, text[i:j]) == ("SECRET", x), text
+        made = s.of(x, "SECRET")
+        assert made != x and len(made) == len(x)
+    assert pii.entities("The secret of a good password is its length.") == []
+
+
 def test_permutations_are_distinct():
     s = pii.Surrogates(KEY)
     assert sorted(s.permute(x, 1000, "t") for x in range(1000)) == list(range(1000))
