@@ -20,12 +20,19 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import raw_texts
 
 _MIT = """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software. the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."""
-_BSD = """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
-_ISC = """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_BSD_CLAUSES = """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = """3. neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """this software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+_ISC = """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."""
 _APACHE = """licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/LICENSE-2.0 unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license."""
 _GPL = """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details. you should have received a copy of the gnu general public license along with this program. if not, see http://www.gnu.org/licenses/."""
+_GPL_2 = """this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details. you should have received a copy of the gnu general public license along with this program; if not, write to the free software foundation, inc., 51 franklin street, fifth floor, boston, ma 02110-1301 usa."""
+_LGPL_2 = """this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version. this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu lesser general public license for more details. you should have received a copy of the gnu lesser general public license along with this library; if not, write to the free software foundation, inc., 51 franklin street, fifth floor, boston, ma 02110-1301 usa."""
+_LGPL = _GPL.replace("gnu general", "gnu lesser general")
+_AGPL = _GPL.replace("gnu general", "gnu affero general")
 _MPL = """this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/MPL/2.0/."""
-#: Public licences: (id, wording); several wordings of one licence are templates of their own.
+#: Public licences: (id, wording); several wordings of one licence, and its
+#: conditions without the disclaimer, are templates of their own.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "licensed under the apache license, version 2.0."),
@@ -34,12 +41,21 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "licensed under the mit license."),
     ("GPL-3.0", _GPL),
     ("GPL-3.0", "this work is licensed under the gnu general public license, version 3."),
+    ("GPL-2.0", _GPL_2),
     ("GPL-2.0", "this work is licensed under the gnu general public license, version 2."),
+    ("LGPL-2.1", _LGPL_2),
+    ("LGPL-3.0", _LGPL),
     ("LGPL-3.0", "this work is licensed under the gnu lesser general public license, version 3."),
+    ("AGPL-3.0", _AGPL),
     ("AGPL-3.0", "this work is licensed under the gnu affero general public license, version 3."),
-    ("BSD-3-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD_CLAUSES} {_BSD_DISCLAIMER}"),
+    ("BSD-2-Clause", _BSD_CLAUSES),
+    ("BSD-2-Clause", "released under the bsd 2-clause license."),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} {_BSD_THIRD} {_BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} {_BSD_THIRD}"),
     ("BSD-3-Clause", "released under the bsd 3-clause license."),
     ("ISC", _ISC),
+    ("ISC", _ISC.split(". ")[0]),
     ("MPL-2.0", _MPL),
     ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4.0 international license."),
     ("CC-BY-4.0", "licensed under cc by 4.0."),
@@ -50,10 +66,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. cc0 1.0 universal."),
     ("Unlicense", "this is free and unencumbered software released into the public domain."),
 ]
+_GNU = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+TEMPLATES += [(name, f"spdx-license-identifier: {name.lower()}{end}") for name in dict.fromkeys(name for name, _ in TEMPLATES) for end in (("", "-only", "-or-later") if name in _GNU else ("",))]
 #: A line is a candidate if it holds one of these; a block runs on over lines of licence wording.
 KEYWORDS = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"public domain", b"cc by", b"cc-by", b"spdx")
 #: Words of a block, and of a template, that may differ; words that occur in no licence end a block if they exceed LOOSE of a line.
 MOST_DIFFERENT, LOOSE = 0.25, 0.4
+#: An SPDX line, whose expression may name several licences; what stands after WITH is an exception.
+_spdx = regex.compile(r"(?i)spdx-license-identifier:[ \t]*((?:[\w.+()-]+[ \t]+(?:and|or|with)[ \t]+)*[\w.+()-]+)")
 _words = regex.compile(r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*")
 
 
@@ -62,6 +82,12 @@ def wording(text: str) -> list[str]:
     return _words.findall(text.lower())
 
 
+def _one_each(line: regex.Match) -> str:
+    """An SPDX line as one line for each licence of its expression."""
+    named = regex.sub(r"(?i)\s+with\s+\S+", "", line[1])
+    return "\n".join(f"spdx-license-identifier: {x.strip('()')}" for x in regex.split(r"(?i)\s+(?:and|or)\s+", named))
+
+
 class Scanner:
     """The templates as dictionaries, made once in each worker."""
 
@@ -130,8 +156,8 @@ class Scanner:
         """The confirmed licences of a block, each where its wording stands; wording once explained isn't used again."""
         if block in self.known:
             return self.known[block]
-        found, left = [], wording(block)
-        while len(left) >= 3:
+        found, left = [], wording(_spdx.sub(_one_each, block))
+        while len(left) >= 2:  # an SPDX line has two words
             best, there = None, Counter(left)
             for saved, _, i in self.ranked(left):
                 # a template with too few of its words in the block can't be confirmed

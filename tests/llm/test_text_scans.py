@@ -42,6 +42,19 @@ def test_license_at_the_end_of_a_paragraph():
     assert a["license"] == "Apache-2.0" and a["differences"] == ["compliance -> accordance"]
 
 
+def test_license_whole_wordings():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda text: [(x["license"], x["differences"]) for x in s.scan(text.encode())]
+    for name, text in licenses.TEMPLATES:
+        assert names(text) == [(name, [])], text
+    parts = licenses._BSD_CLAUSES, licenses._BSD_THIRD, licenses._BSD_DISCLAIMER
+    assert names("\n\n".join(parts[::2])) == [("BSD-2-Clause", [])] and names("\n\n".join(parts)) == [("BSD-3-Clause", [])]
+    assert names("\n".join(parts).replace("tort", "wrong")) == [("BSD-3-Clause", ["tort -> wrong"])]
+    assert names("\n".join(parts[::2]).replace("tort", "wrong")) == [("BSD-2-Clause", ["tort -> wrong"])]
+    for text, want in {"// SPDX-License-Identifier: MIT": {"MIT"}, "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os": {"MIT", "Apache-2.0"}, "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": {"GPL-2.0"}, "SPDX-License-Identifier: LGPL-2.1+": {"LGPL-2.1"}, "SPDX-License-Identifier: Foo-1.0": set()}.items():
+        assert {x for x, _ in names(text)} == want, (text, names(text))
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan(frame(spark)).where("size(licenses) > 0").count() == 0
     assert licenses.scan(frame(spark)).count() == frame(spark).count() and licenses.scan(frame(spark, [])).count() == 0
