@@ -22,9 +22,8 @@ SHARD_TOKENS = 1 << 21
 
 def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset). What a document has beyond full sequences goes, in descending
-    order of cost, to the sequence of the lowest cost so far whose remaining capacity takes it; where none of the eight
-    cheapest does, the cheapest is filled and the rest goes on. There are as few sequences as the tokens need, so all
-    but the last are full."""
+    order of cost, to the sequence of the lowest cost so far whose remaining capacity takes it; only where none does, the
+    cheapest is filled and the rest goes on. There are as few sequences as the tokens need, so all but the last are full."""
     out, rest, sequence = [], [], 0
     for d, n in enumerate(lengths):
         full = n // capacity
@@ -39,27 +38,50 @@ def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic:
     bins = -(-total // capacity)
     room = [capacity] * (bins - 1) + [total - capacity * (bins - 1)]
     used = [0] * bins
-    heap = [(0.0, k) for k in range(bins)]
     cost = lambda n: linear * n + quadratic * n * n
+    # the sequences of each remaining capacity, cheapest first, and a tree over capacities with the cheapest of each range
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    for k, r in enumerate(room):
+        heaps[r].append((0.0, k))
+    width = 1 << capacity.bit_length()
+    none = (float("inf"), -1)
+    tree = [none] * (2 * width)
+
+    def update(r: int) -> None:
+        i = r + width
+        tree[i] = heaps[r][0] if heaps[r] else none
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def cheapest(least: int) -> tuple[float, int]:
+        i = least + width
+        best = tree[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, tree[i + 1])
+            i >>= 1
+        return best
+
+    for r in {capacity, room[-1]}:
+        update(r)
     for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
         while n:
-            tried = []
-            while heap and len(tried) < 8:
-                tried.append(heapq.heappop(heap))
-                if room[tried[-1][1]] >= n:
-                    break
-            at = len(tried) - 1 if room[tried[-1][1]] >= n else 0
-            spent, k = tried.pop(at)
-            for x in tried:
-                heapq.heappush(heap, x)
-            take = min(n, room[k])
+            spent, k = cheapest(n)
+            if k < 0:
+                spent, k = cheapest(1)
+            r = room[k]
+            heapq.heappop(heaps[r])
+            update(r)
+            take = min(n, r)
             out.append((d, start, take, sequence + k, used[k]))
             used[k] += take
             room[k] -= take
             n -= take
             start += take
             if room[k]:
-                heapq.heappush(heap, (spent + cost(take), k))
+                heapq.heappush(heaps[room[k]], (spent + cost(take), k))
+                update(room[k])
     return out
 
 

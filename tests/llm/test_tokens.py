@@ -94,3 +94,27 @@ def test_assign_balances_cost():
     whole = {q for d, s, n, q, o in found if n == 4096}
     rest = [c for q, c in cost.items() if q not in whole and fill[q] == 4096]
     assert max(rest) < 2.2 * min(rest)
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    rng = np.random.default_rng(3)
+    cost = lambda n: packing.LINEAR * n + packing.QUADRATIC * n * n
+    for lengths, capacity in ((np.minimum(4000, rng.lognormal(5.5, 1.2, 3000).astype(int) + 1), 4096), (rng.integers(1, 30, 400), 16), ([], 8), ([8, 16], 8)):
+        lengths = [int(n) for n in lengths]
+        room, spent, used = {}, {}, {}
+        made = packing.assign(lengths, capacity)
+        rest = sum(n % capacity for n in lengths)
+        full = sum(n // capacity for n in lengths)
+        for k in range(-(-rest // capacity)):
+            room[full + k], spent[full + k], used[full + k] = min(capacity, rest - k * capacity), 0.0, 0
+        want = [(d, k * capacity, capacity) for d, n in enumerate(lengths) for k in range(n // capacity)]
+        want = [(*x, k, 0) for k, x in enumerate(want)]
+        for n, d in sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda r: (-r[0], r[1])):
+            start = lengths[d] - n
+            while n:
+                k = min((k for k in room if room[k] >= n), key=lambda k: (spent[k], k), default=None)
+                k = min((k for k in room if room[k]), key=lambda k: (spent[k], k)) if k is None else k
+                take = min(n, room[k])
+                want.append((d, start, take, k, used[k]))
+                used[k], room[k], spent[k], start, n = used[k] + take, room[k] - take, spent[k] + cost(take), start + take, n - take
+        assert made == want
