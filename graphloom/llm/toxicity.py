@@ -1,10 +1,11 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine on a learned list of toxic words.
 
 The examples are a bounded sample of labelled rows outside the held-out fold. Terms are words and word beginnings that
 the sample's labels mark significantly; their document frequencies are counted over all documents. Each worker holds the
 examples as an inverted index whose postings come in blocks with their largest impact: blocks are searched in the order
-of their bound until none can beat the k-th best, so the neighbours are exact. Distance-weighted votes are calibrated on
-the examples themselves, each left out of its own vote.
+of their bound until none can beat the k-th best, so the neighbours are exact as to those terms. A text that has none of
+them is compared with no example. Distance-weighted votes are calibrated on the examples themselves, each left out of
+its own vote.
 """
 
 from __future__ import annotations
