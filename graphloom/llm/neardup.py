@@ -128,7 +128,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id that confirmed links reach), kept (doc_id = component_id),
-    n_links (confirmed links that this document's own text takes part in as proposed, equal sets not counted).
+    n_proposed_links (confirmed ones of the links that were proposed for this document's own text, equal sets not counted: at
+    most the number of its near texts, and dependent on which id is smallest).
 
     Words are runs of bytes other than ASCII white space, A-Z lowered; the set holds distinct 3-word shingles of the whole
     text. Texts that are null, empty or without words have n_shingles 0 and link with nothing. A null id is its own
@@ -152,16 +153,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     reps = sig.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     out = reps.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     if component is not None:
-        links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_proposed_links"))
         out = out.join(component.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").join(links, "rep", "left")
     else:
-        out = out.withColumn("c", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
+        out = out.withColumn("c", F.lit(None).cast("long")).withColumn("n_proposed_links", F.lit(None).cast("long"))
     return out.select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.coalesce("c", "rep") == F.col("doc_id"))).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_proposed_links", F.lit(0)).alias("n_proposed_links"),
     )
 
 

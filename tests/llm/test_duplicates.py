@@ -114,3 +114,11 @@ def test_empty_and_odd(spark):
     got = sorted(map(tuple, neardup.near_duplicates(frame(spark, rows)).select("doc_id", "component_id", "kept").collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)]
     assert neardup.keep_one(frame(spark, rows)).count() == 4
+
+
+def test_proposed_links_are_named_so(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(6)]
+    got = neardup.near_duplicates(frame(spark, rows, more=False))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept", "n_proposed_links"]
+    assert {r.component_id for r in got.collect()} == {0} and all(1 <= r.n_proposed_links <= 5 for r in got.collect())
