@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, claim, raw_texts
+from graphloom.llm.merges import byte_letters
 from graphloom.llm.tokens import chunks_of, groups
 
 #: White space as the vocabulary's splitter knows it.
@@ -27,19 +28,6 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _models: dict[str, "WordBpe"] = {}
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, extra = [""] * 256, 256
-    for b in range(256):
-        if b in shown:
-            letters[b] = chr(b)
-        else:
-            letters[b] = chr(extra)
-            extra += 1
-    return letters
-
-
 class WordBpe:
     """A lower-casing, byte-level BPE with a word-end suffix, read from a tokenizer file."""
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import CACHE_WORDS, claim, raw_texts
+from graphloom.llm.merges import Merges
 
 #: Bytes of a batch of chunks that the library encodes at once.
 BATCH_BYTES = 1 << 18
@@ -75,10 +76,12 @@ def cut_tail(chunk: bytes) -> int:
 
 
 class ChunkCache:
-    """What the tokenizer makes of each chunk: its number of tokens, or its ids as little-endian 32-bit words."""
+    """What the tokenizer makes of each chunk: its number of tokens, or its ids as little-endian 32-bit words. For ids, new
+    words of plain letters are merged together, which is many times faster than the library word by word."""
 
     def __init__(self, path: str, ids: bool):
         self.path, self.ids, self.known = path, ids, {}
+        self.merges = Merges(path) if ids else None
 
     def learn(self, chunked: list[list[bytes]]) -> dict[bytes, object]:
         """The cache, holding all of these chunks."""
@@ -88,15 +91,19 @@ class ChunkCache:
             known.clear()
             new = set(chain.from_iterable(chunked))
         t = tokenizer(self.path)
-        parts, later = set(), []
-        for c in new:
+        parts, later = {c for c in new if c.isalpha()}, []
+        for c in new - parts:
             n = cut_tail(c)
             if n:
                 later.append((c, c[:n], c[n:]))
                 parts.update(later[-1][1:])
             else:
                 parts.add(c)
-        for batch in balanced(sorted(parts.difference(known), key=len)):
+        fresh: Iterable[bytes] = parts.difference(known)
+        if self.merges:
+            words, ids, fresh = self.merges.known(list(fresh))
+            known.update(zip(words, ids))
+        for batch in balanced(sorted(fresh, key=len)):
             made = t.encode_batch_fast([c.decode() for c in batch], add_special_tokens=False)
             if self.ids:
                 known.update((c, array("I", e.ids).tobytes()) for c, e in zip(batch, made))

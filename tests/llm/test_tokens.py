@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from graphloom.llm import bpe, packing, queries, tokens
+from graphloom.llm import bpe, merges, packing, queries, tokens
 
 from .cases import LONG, TEXTS, frame
 
@@ -48,6 +48,16 @@ def test_bpe_query_over_the_table(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_batch_merges_equal_the_library():
+    rng = np.random.default_rng(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyz" * 4, *"éèßüñçøÉÑÄ", *"абвгдйщяЖЙ", "a" * 7, "ing", "th", "the", "ов"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(20_000)] + ["a", "aa", "aaaa", "x" * 64, "y" * 65, "é" * 32, "ё", "fi-1", "ŷ"]
+    known, ids, other = merges.Merges(PATH).known([w.encode() for w in words])
+    assert set(other) >= {("y" * 65).encode(), "fi-1".encode(), "ŷ".encode()} and len(known) > 15_000
+    assert dict(zip(known, ids)) == {w.encode(): np.asarray(library(w), "<u4").tobytes() for w in set(words) - {o.decode() for o in other}}
+    assert merges.Merges(PATH).known([]) == ([], [], [])
+
+
 def test_packing_covers_each_id_once(spark, sf):
     for df in (frame(spark, [*TEXTS[:8], TEXTS[10], (12, LONG + " end")]), spark.read.parquet(f"{sf}/documents.parquet")):
         docs = {r.doc_id: r.text for r in df.collect()}
