@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, claim, raw_texts
+from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, claim, mapped, raw_texts
 from graphloom.llm.merges import byte_letters
 from graphloom.llm.tokens import chunks_of, groups
 
@@ -165,4 +165,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 at += len(part)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")

@@ -36,18 +36,47 @@ def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
     _holder[:] = [name, clear]
 
 
+def release() -> None:
+    """Clears this worker's caches and gives freed memory back: an idle worker must not hold what another task needs."""
+    claim("")
+
+
+#: Bytes of an Arrow batch on its way to a worker, where the session sets no bound of its own kind (its default is 64 MB or more).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by bytes as well as by rows; a worker's caches end with its task."""
+    df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only in local mode, where there is one machine, may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return folder.rstrip("/") or os.path.join(tempfile.gettempdir(), "graphloom-checkpoint")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written once to the reliable checkpoint folder. The folder is the session's spark.checkpoint.dir;
-    only where neither that nor a checkpoint folder is set (tests on one machine) is a temporary one made."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "graphloom-checkpoint")
-        spark.sparkContext.setCheckpointDir(folder)
+    """The frame, written once to the reliable checkpoint folder (the one already set, else shared_folder)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -107,7 +136,7 @@ def maybe_in(df: DataFrame, name: str, bitmap: tuple[np.ndarray, int], keep: boo
                 yield out
 
     h = F.when(F.col(f"`{name}`").isNotNull(), bit_of(F.col(f"`{name}`"), bits))
-    return df.select(*[F.col(f"`{c}`") for c in columns], h.alias("__graphloom_bit")).mapInArrow(run, schema)
+    return mapped(df.select(*[F.col(f"`{c}`") for c in columns], h.alias("__graphloom_bit")), run, schema)
 
 
 def drop_keys(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:

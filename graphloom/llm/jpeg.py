@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import pieces, raw_texts
+from graphloom.llm.common import mapped, pieces, raw_texts
 
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 _k = np.arange(8)
@@ -497,4 +497,4 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 )
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, schema)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, checkpointed, claim, drop_keys, key_bitmap, maybe_in, pieces, raw_texts
+from graphloom.llm.common import CACHE_WORDS, bit_of, checkpointed, claim, drop_keys, key_bitmap, mapped, pieces, raw_texts
 from graphloom.llm.components import connected
 
 #: Permutations; each gives two values. Bands of ROWS values: a pair at similarity s shares none with probability
@@ -99,21 +99,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             bands = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), bands], names=["doc_id", "n", "d1", "d2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id and its full set of shingle hashes."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bitmap: tuple[np.ndarray, int]) -> DataFrame:
+    """Per document whose id may be in the bitmap: id and its full set of shingle hashes."""
+    shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap[0]), bitmap[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", _words.clear)
         for b in batches:
+            h = b.column("bit").to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
             ids, sets = b.column(0), [shingle_set(x).view(np.int64) for x in raw_texts(b, "text")]
             for i, j in pieces([8 * len(s) for s in sets]):
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets[i:j]])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets[i:j])))], names=["id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    return mapped(own.withColumn("bit", bit_of(F.col("id"), bits)), run, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +175,8 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Of two sets that link, the n - ceil(p n / 100) + 1 rarest shingles of each (one order for all) have one in common; and
     with u shingles that no other member has, they share at most m = min(n - u, n' - u'), which must reach
-    p (n + n') / (100 + p). Copies of one original that each differ too much have mostly shingles of their own there, so
+    p (n + n') / (100 + p). The first that they share in that order leaves them no more to share than what follows it in
+    either, which must suffice too: so most of what meets at a frequent shingle is dropped within the join. Copies of one original that each differ too much have mostly shingles of their own there, so
     they propose next to nothing, however many they are.
     """
     own = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "c", F.explode("shingles").alias("s"))
@@ -185,12 +190,12 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("u", F.count_if(F.col("k") == 1).over(each))
         .where("k > 1")
     )
-    rare = checkpointed(ranked.select("s", "rep", "n", "c", "u"))
-    other = rare.withColumnsRenamed({"rep": "m", "n": "mn", "c": "mc", "u": "mu"})
+    rare = checkpointed(ranked.select("s", "rep", "n", "c", "u", (F.col("n") - F.col("place") + 1).alias("left")))
+    other = rare.withColumnsRenamed({"rep": "m", "n": "mn", "c": "mc", "u": "mu", "left": "mleft"})
     p = F.lit(percent)
     return (
         rare.join(other, "s")
-        .where((F.col("c") < F.col("mc")) & ((F.lit(100) + p) * F.least(F.col("n") - F.col("u"), F.col("mn") - F.col("mu")) >= p * (F.col("n") + F.col("mn"))))
+        .where((F.col("c") < F.col("mc")) & ((F.lit(100) + p) * F.least(F.col("n") - F.col("u"), F.col("mn") - F.col("mu"), F.col("left"), F.col("mleft")) >= p * (F.col("n") + F.col("mn"))))
         .select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b"))
         .distinct()
     )
@@ -206,8 +211,7 @@ def link_buckets(members: DataFrame, docs: DataFrame, percent: int, id_col: str,
     if members.isEmpty():
         return None
     own = members.select(F.col("rep").alias("id")).distinct()
-    near = maybe_in(docs, id_col, key_bitmap(own, "id"))
-    sets = checkpointed(shingle_sets(near, id_col, text_col).join(own, "id", "left_semi").dropDuplicates(["id"]))
+    sets = checkpointed(shingle_sets(docs, id_col, text_col, key_bitmap(own, "id")).join(own, "id", "left_semi").dropDuplicates(["id"]))
     first = members.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("m"))
     fits = F.lit(100) * F.least("n", "m.n") >= F.lit(percent) * F.greatest("n", "m.n")
     stars = members.join(first, "key").where((F.col("rep") != F.col("m.rep")) & fits).select(F.col("m.rep").alias("a"), F.col("rep").alias("b")).distinct()

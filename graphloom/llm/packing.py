@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import raw_texts
+from graphloom.llm.common import mapped, raw_texts
 from graphloom.llm.tokens import chunk_cache, chunks_of, groups
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections grow with n, attention with its square).
@@ -145,4 +145,4 @@ def pack(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, schema)

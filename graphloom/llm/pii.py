@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import checkpointed, claim, pieces, raw_texts
+from graphloom.llm.common import checkpointed, claim, mapped, pieces, raw_texts
 
 #: Redrawn names that a broadcast may carry (some 100 bytes each); four syllables and a given name give 2**33 draws,
 #: so a hundred million distinct names leave about 600 000 to redraw. More than this bound is an error, not a loss.
@@ -409,7 +409,7 @@ def _drawn(names: DataFrame, key: bytes) -> DataFrame:
             made = [s.name(n, g, d).casefold() for g, n, d in zip(*[b.column(i).to_pylist() for i in range(3)])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["gender", "name", "draw", "made"])
 
-    return names.mapInArrow(run, "gender string, name string, draw int, made string")
+    return mapped(names, run, "gender string, name string, draw int, made string")
 
 
 def redraws(docs: DataFrame, key: bytes, text_col: str = "text") -> dict[str, int]:
@@ -426,7 +426,7 @@ def redraws(docs: DataFrame, key: bytes, text_col: str = "text") -> dict[str, in
             g, n = zip(*sorted(found)) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.string())], names=["gender", "name"])
 
-    names = checkpointed(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gender string, name string").distinct().withColumn("draw", F.lit(0)))
+    names = checkpointed(mapped(docs.select(F.col(text_col).alias("text")), run, "gender string, name string").distinct().withColumn("draw", F.lit(0)))
     if names.isEmpty():
         return {}
     real = names.select(F.col("name").alias("made")).distinct().withColumn("real", F.lit(True))
@@ -492,4 +492,4 @@ def replaced(docs: DataFrame, key: bytes, text_col: str = "text", with_entities:
     fields = [docs.schema[c] for c in columns]
     if with_entities:
         fields.append(T.StructField("pii_entities", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, T.StructType(fields))
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in columns]), run, T.StructType(fields))

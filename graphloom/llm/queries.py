@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,16 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Key of the surrogates; a deployment passes its own.
-KEY = b"graphloom surrogate key"
+#: The session's setting of the surrogates' key. Who has the key can undo the replacements, so none stands here.
+KEY_SETTING = "spark.graphloom.surrogate.key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key that the session names; where it names none, one drawn at random for this session, so that surrogates are
+    consistent within it and nobody can undo them."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +44,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), KEY, with_entities=True)
+    made = pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), with_entities=True)
     return made.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("pii_entities.type"))).alias("entity_types"))
 
 

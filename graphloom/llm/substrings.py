@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpointed, claim, key_bitmap, maybe_in, pieces, raw_texts
+from graphloom.llm.common import checkpointed, claim, key_bitmap, mapped, maybe_in, raw_texts, release
 from graphloom.llm.neardup import clear_words, mix, word_hashes
 
 #: Words of a phrase: half a window, so that phrases shared by chance are rare and a window spans as many starts.
@@ -114,8 +114,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, window: int, phrase: int
                 names=["doc_id", "n_words", "d1", "d2", "sha", "phrases", "starts"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_words long, d1 long, d2 long, sha string, phrases array<long>, starts array<int>"
+    return mapped(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
+        run,
+        "doc_id long, n_words long, d1 long, d2 long, sha string, phrases array<long>, starts array<int>",
     )
 
 
@@ -183,6 +185,7 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
     seeds = hits.withColumn("shard", shard).groupBy("shard", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("shard", "at.doc_id", "at.start")
 
     def find(texts: pa.Table, seeds: pa.Table) -> pa.Table:
+        claim("words", clear_words)
         ids, h1, h2 = [], [], []
         for d, words, inside in located(texts, seeds, window, phrase):
             a, b = windows(words, window)
@@ -190,6 +193,7 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
             ids.append(np.full(len(both), d, np.int64))
             h1.append(both[:, 0])
             h2.append(both[:, 1])
+        release()
         join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
         return pa.table({"doc_id": join(ids), "h1": join(h1), "h2": join(h2)})
 
@@ -198,6 +202,7 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
     late = found.join(earlier, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1", "h2").withColumn("shard", shard)
 
     def cut(texts: pa.Table, late: pa.Table) -> pa.Table:
+        claim("words", clear_words)
         wanted: dict[int, set] = {}
         for d, a, b in zip(late.column("doc_id").to_pylist(), late.column("h1").to_pylist(), late.column("h2").to_pylist()):
             wanted.setdefault(d, set()).add((a, b))
@@ -212,6 +217,7 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
                 ids.append(d)
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
+        release()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     changed = texts.groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(cut, "doc_id long, n_removed long, kept string")

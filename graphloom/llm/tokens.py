@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_WORDS, claim, raw_texts
+from graphloom.llm.common import CACHE_WORDS, claim, mapped, raw_texts
 from graphloom.llm.merges import Merges
 
 #: Bytes of a batch of chunks that the library encodes at once.
@@ -158,4 +158,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,35 +1,41 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine on a learned list of toxic words.
-
-The examples are a bounded sample of labelled rows outside the held-out fold. Terms are words and word beginnings that
-the sample's labels mark significantly; their document frequencies are counted over all documents. Each worker holds the
-examples as an inverted index whose postings come in blocks with their largest impact: blocks are searched in the order
-of their bound until none can beat the k-th best, so the neighbours are exact as to those terms. A text that has none of
-them is compared with no example. Distance-weighted votes are calibrated on the examples themselves, each left out of
-its own vote.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+
+The examples are a bounded sample of labelled rows outside the held-out fold, each with its own label and id. Terms are
+all words and word beginnings that two examples or more hold; their document frequencies are counted over all documents,
+and what the sample's labels mark as typical of toxic texts weighs more (supervised TF-IDF; every term keeps at least its
+plain weight). Each worker holds the examples as an inverted index: postings of the rarer terms are added up whole, those
+of common terms come in blocks of examples with their largest impact, and blocks are searched in the order of their bound
+until none can beat the k-th best, so the neighbours are exact. Distance-weighted votes are calibrated on the examples
+themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from graphloom.llm.common import CACHE_WORDS, claim, raw_texts
-
-#: Labelled rows at most that are learned from: those of the smallest hash of the id. And terms at most.
-SAMPLE, TERMS = 16_384, 2_048
-#: Standard deviations by which a term must be more frequent in toxic examples than its overall rate explains.
-LEAST_Z = 6.0
-NEIGHBOURS, BLOCK, FOLDS = 24, 64, 5
-BEGINNINGS = (4, 5, 6, 7)
+from pyspark.sql import types as T
+
+from graphloom.llm.common import CACHE_WORDS, checkpointed, claim, mapped, raw_texts
+
+#: Labelled rows at most that are learned from: those of the smallest hash of the id.
+SAMPLE = 4_096
+#: Examples that must hold a term, so that it can bring two of them together.
+LEAST_EXAMPLES = 2
+#: A term whose frequency in toxic examples exceeds its overall rate by z > PLAIN_Z standard deviations weighs 1 + z - PLAIN_Z times as much.
+PLAIN_Z = 4.0
+#: Neighbours that vote; examples of a block; share of the examples from which a term is common.
+NEIGHBOURS, BLOCK, COMMON, FOLDS = 24, 64, 1 / 16, 5
+BEGINNINGS = (4, 6)
 _word = regex.compile(r"\p{L}+")
 
 
@@ -51,126 +57,150 @@ class _Chunks(dict):
     def __missing__(self, chunk: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[chunk] = tuple(self.terms[t] for t in terms_of(chunk) if t in self.terms)
-        return found
+        text, number, found = chunk.decode().lower(), self.terms.get, []
+        for w in (text,) if text.isalpha() else _word.findall(text):
+            if len(w) > BEGINNINGS[0]:  # every text that has the word has its shortest beginning: without that it's no term
+                if (t := number(f"{w[: BEGINNINGS[0]]}~")) is None:
+                    continue
+                found.append(t)
+                for n in BEGINNINGS[1:]:
+                    if len(w) > n and (t := number(f"{w[:n]}~")) is not None:
+                        found.append(t)
+            if (t := number(w)) is not None:
+                found.append(t)
+        made = self[chunk] = tuple(found)
+        return made
 
 
 @dataclass
 class Model:
-    """Examples, terms and calibration; the index is built where it is used."""
+    """Terms, their weights, the index of the examples and the calibration."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    rows: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # unit vectors: term numbers, weights
+    weight: np.ndarray
+    index: Index | None = None
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     base: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    _index: Index | None = None
     _chunks: dict = field(default_factory=dict)
-    _known: dict[bytes, tuple[float, list]] = field(default_factory=dict)
+    _known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": None, "_chunks": {}, "_known": {}}
+        return self.__dict__ | {"_chunks": {}, "_known": {}}
 
     def forget(self) -> None:
         """Clears the caches."""
         self._chunks, self._known = {}, {}
 
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of a whole text; empty where it has none of the terms. Words that are no term count
-        together as one term of every document, so that few terms among many words point elsewhere than many among few."""
-        chunks = text.split()
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a whole text, ascending, and how often it has each."""
         if not self._chunks:
             self._chunks = _Chunks(self.terms)
-        return self._count([t for ts in filter(None, map(self._chunks.__getitem__, chunks)) for t in ts], len(chunks))
-
-    def _count(self, found: list[int], words: int) -> tuple[np.ndarray, np.ndarray]:
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, n = np.unique(np.asarray([*found, len(self.terms)]), return_counts=True)
-        n[-1] = words
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / math.sqrt(float(w @ w))
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """The share of toxic among the nearest examples, weighted by closeness, and those examples."""
-        if self._index is None:
-            self._index = Index(self.rows, len(self.idf))
-        near = self._index.nearest(terms, weights, NEIGHBOURS, but)
-        if not near:
-            return self.base, []
-        closeness = np.array([1 / (1.05 - s) for _, s in near])
-        toxic = self.labels[[i for i, _ in near]]
-        return float((closeness @ toxic + self.base) / (closeness.sum() + 1)), near
-
-    def score(self, text: bytes) -> tuple[float, list[tuple[int, float]]]:
-        """Calibrated score and evidence (example id, cosine) of a text."""
+        found = np.fromiter(chain.from_iterable(map(self._chunks.__getitem__, text.split())), np.int32)
+        return np.unique(found, return_counts=True)
+
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF vector of a whole text; empty where it has none of the terms."""
+        t, n = self.counts(text)
+        w = (1 + np.log(n)) * self.weight[t]
+        return t, w / np.sqrt(w @ w) if len(t) else w
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic among the nearest examples, weighted by closeness, and those examples with their cosines.
+        `but` is the id of an example that has no vote."""
+        near, cosine = self.index.nearest(terms, weights, NEIGHBOURS + (but is not None)) if self.index else (np.zeros(0, np.int64), np.zeros(0))
+        if but is not None:
+            other = self.ids[near] != but
+            near, cosine = near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]
+        if not len(near):
+            return self.base, near, cosine
+        closeness = 1 / (1.05 - cosine)
+        return float((closeness @ self.labels[near] + self.base) / (closeness.sum() + 1)), near, cosine
+
+    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """Calibrated score and evidence (example ids, cosines) of a text."""
         t, w = self.vector(text)
         if not len(t):
-            return self.base, []
-        key = t.tobytes() + w.tobytes()
-        if key not in self._known:
-            if len(self._known) > 50_000:
+            return self.base, np.zeros(0, np.int64), np.zeros(0)
+        key = xxhash.xxh3_128_digest(t.tobytes() + w.tobytes())
+        if key not in self._known:  # copies of a text come in large groups
+            if len(self._known) >= 4096:
                 self._known.clear()
-            v, near = self.vote(t, w)
-            self._known[key] = (float(np.interp(v, *self.curve)), [(int(self.ids[i]), s) for i, s in near])
+            v, near, cosine = self.vote(t, w)
+            self._known[key] = (float(np.interp(v, *self.curve)), self.ids[near], cosine)
         return self._known[key]
 
 
 class Index:
-    """Postings by term, in blocks of BLOCK examples with the largest weight of each."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        # examples with like terms side by side, so that a block's bound is close
-        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), -float(rows[i][1].max())))
-        self.order = np.array(order, np.int64)
-        self.terms = terms
-        self.most = np.zeros((terms, self.blocks), np.float32)
-        # postings of a block: its own terms, and the weight of each of its examples for each of them
-        self.posts: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(self.blocks):
-            own = [rows[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
-            local = np.unique(np.concatenate([t for t, _ in own]))
-            weight = np.zeros((len(own), len(local)))
-            for i, (t, w) in enumerate(own):
-                weight[i, np.searchsorted(local, t)] = w
-            self.posts.append((local, weight))
-            self.most[local, b] = np.nextafter(weight.max(axis=0).astype(np.float32), np.float32(2))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples of the largest positive cosine (ties: smaller position), exact."""
-        if not self.size:
-            return []
-        bounds = weights @ self.most[terms]
-        query = np.zeros(self.terms)
-        query[terms] = weights
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) >= k and bounds[b] < best[k - 1][0] * -1 - 1e-6):
+    """Postings by term. Those of rare terms are kept as positions and weights; of a common term every block of BLOCK
+    examples has its weights side by side and its largest one, the block's maximal impact."""
+
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int):
+        """Examples as unit vectors: example i has terms[starts[i]:starts[i + 1]] and their weights; `size` terms in all."""
+        n = len(starts) - 1
+        self.size, self.blocks = n, -(-n // BLOCK)
+        row = np.repeat(np.arange(n), np.diff(starts))
+        often = np.bincount(terms, minlength=size)
+        common = np.flatnonzero(often > max(BLOCK, COMMON * n))
+        self.common = np.full(size, -1, np.int32)
+        self.common[common] = np.arange(len(common))
+        c = self.common[terms]
+        # examples whose strongest common term is the same side by side (texts of one language, mostly), so that bounds are close
+        strongest = np.full(n, -1, np.int64)
+        best = np.lexsort((weights[c >= 0], row[c >= 0]))
+        strongest[row[c >= 0][best]] = c[c >= 0][best]
+        self.order = np.lexsort((np.arange(n), strongest))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.dense = np.zeros((len(common), self.blocks, BLOCK), np.float32)
+        self.dense.reshape(len(common), self.blocks * BLOCK)[c[c >= 0], place[row[c >= 0]]] = weights[c >= 0]
+        self.most = self.dense.max(axis=2) if n else np.zeros((len(common), 0), np.float32)
+        rare = np.flatnonzero(c < 0)
+        rare = rare[np.lexsort((place[row[rare]], terms[rare]))]
+        self.at, self.impact = place[row[rare]].astype(np.int32), weights[rare].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms[rare], minlength=size))])
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosine (ties: smaller number), exact, and those cosines."""
+        c = self.common[terms]
+        rare, often = c < 0, c[c >= 0]
+        first, length = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        shift = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        sums = np.bincount(self.at[shift], self.impact[shift] * np.repeat(weights[rare], length), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        q = weights[~rare].astype(np.float32)
+        bounds = sums.max(axis=1) + (q @ self.most[often]) * (1 + 1e-5)
+        todo = np.argsort(-bounds, kind="stable")
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 4
+        while at < len(todo):
+            own = todo[at : at + step]
+            least = score[-1] if len(score) >= k else 0.0
+            own = own[(bounds[own] > 0) & (bounds[own] >= least - 1e-6)]
+            if not len(own):
                 break
-            local, weight = self.posts[b]
-            sums = weight @ query[local]
-            floor = -best[k - 1][0] if len(best) >= k else 0.0
-            for i in np.flatnonzero((sums > 0) & (sums >= floor)).tolist():
-                e = int(self.order[b * BLOCK + i])
-                if e != but:
-                    best.append((-float(sums[i]), e))
-            best.sort()
-            del best[k:]
-        return [(e, -s) for s, e in best]
-
-
-def _learned_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
-    """The terms that toxic examples hold significantly more often."""
+            made = sums[own]
+            if len(often):
+                made = made + np.einsum("i,ijk->jk", weights[~rare], self.dense[often[:, None], own[None, :]])
+            b, i = np.nonzero((made > 0) & (made >= least - 1e-9))
+            place = own[b] * BLOCK + i
+            inside = place < self.size
+            best, score = np.concatenate([best, self.order[place[inside]]]), np.concatenate([score, made[b, i][inside]])
+            top = np.lexsort((best, -score))[:k]
+            best, score = best[top], score[top]
+            at, step = at + step, min(2 * step, 32)
+        return best, score
+
+
+def _term_counts(sample: DataFrame) -> pa.Table:
+    """term, a (toxic examples that hold it), t (examples that do): those of two examples or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for b in batches:
             for x, y in zip(raw_texts(b, "text"), b.column("toxic").to_pylist()):
                 counts[y].update({t for c in set(x.split()) for t in terms_of(c)})
-            if sum(map(len, counts)) > 2_000_000:
+            if sum(map(len, counts)) > 500_000:
                 yield from out(counts)
                 counts = (Counter(), Counter())
         yield from out(counts)
@@ -181,43 +211,32 @@ def _learned_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
             for i in range(0, len(names), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), pa.array([y] * len(names[i : i + 50_000]), pa.int32()), pa.array(values[i : i + 50_000], pa.int64())], names=["term", "toxic", "n"])
 
-    p = n[1] / (n[0] + n[1])
-    z = (
-        sample.mapInArrow(run, "term string, toxic int, n long")
-        .groupBy("term")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("t"))
-        .withColumn("z", (F.col("a") - F.col("t") * p) / F.sqrt(F.col("t") * p * (1 - p) + 1))
-        .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(TERMS)
-    )
-    # of a word and its beginnings only the most significant one stays (the longest among equals)
-    kept: list[str] = []
-    for r in sorted(z.select("term", "z").collect(), key=lambda r: (-r.z, -len(r.term), r.term)):
-        t = r.term.rstrip("~")
-        if not any(t.startswith(x.rstrip("~")) or x.rstrip("~").startswith(t) for x in kept):
-            kept.append(r.term)
-    return sorted(kept)
+    found = mapped(sample, run, "term string, toxic int, n long")
+    both = found.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("t"))
+    return both.where(F.col("t") >= LEAST_EXAMPLES).toArrow().sort_by("term")
 
 
 def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.ndarray]:
-    """Documents, and of them those that hold each term, over all documents."""
+    """Documents, and of them those that hold each term, over all documents. A task gives one row for each term that it
+    met, as a word count does."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         claim("toxicity", m.forget)
-        n, df = 0, np.zeros(len(m.terms) + 1, np.int64)
+        df = np.zeros(len(m.terms) + 1, np.int64)
         for b in batches:
+            df[-1] += b.num_rows
             for x in raw_texts(b, "text"):
-                n += 1
-                df[m.vector(x)[0]] += 1  # the last entry, of other words, is set below
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
+                df[m.counts(x)[0]] += 1
+        t = np.flatnonzero(df)
+        for i in range(0, len(t), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000]), pa.array(df[t[i : i + 100_000]])], names=["term", "n"])
 
     total = np.zeros(len(model.terms) + 1, np.int64)
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        total[r.term] = r.n
+    found = mapped(docs.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    shared.destroy()
     return int(total[-1]), total[:-1]
 
 
@@ -233,7 +252,7 @@ def _isotonic(v: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np
     at = [p[2] / p[1] for p in pools]
     to = [(p[0] + base) / (p[1] + 1) for p in pools]
     # a slight slope keeps the order of votes within a pool
-    return np.array([0.0, *at, 1.0]), np.clip(np.maximum.accumulate([min(base, to[0]) * 0.5 if to else 0.0, *to, max([*to, 0.0])]) , 0, 1)
+    return np.array([0.0, *at, 1.0]), np.clip(np.maximum.accumulate([min(base, to[0]) * 0.5 if to else 0.0, *to, max([*to, 0.0])]), 0, 1)
 
 
 def in_fold(id_col: str):
@@ -245,48 +264,65 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most `sample` labelled documents that aren't held out.
 
     Labels that are null, or of no document, or of a null id aren't used; an id with several labels counts as toxic if one
-    says so. With no usable label of either kind the model scores every text by the base rate (0.0 without labels).
+    says so; of rows that share an id one is used (the first text in order, null last). Ids must be whole numbers or cast
+    to such: others are left out. With no usable label of either kind (an empty table, too) the model scores every text by
+    the base rate (0.0 without labels). Other columns, whatever their names, aren't read.
     """
+    number = F.col(id_col).try_cast("long")
     chosen = (
-        labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~in_fold(id_col))
-        .groupBy(F.col(id_col).alias("doc_id"))
+        labels.where(F.col("toxic").isin(0, 1) & number.isNotNull() & ~in_fold(id_col))
+        .groupBy(number.alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    # at most `sample` rows of two numbers: broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # at most `sample` rows of two numbers: broadcast; the texts of these rows are kept, so that the table is read once
+    found = docs.select(number.alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = checkpointed(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     n = {0: 0, 1: 0} | {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:
         return Model({}, np.zeros(0), base=float(bool(n[1])))
-    terms = _learned_terms(rows.select("text", "toxic"), n)
-    model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms) + 1))
+    p = n[1] / (n[0] + n[1])
+    terms = _term_counts(rows)
+    a, t = terms.column("a").to_numpy(), terms.column("t").to_numpy()
+    model = Model(dict(zip(terms.column("term").to_pylist(), range(terms.num_rows))), np.zeros(0))
     count, df = _frequencies(docs, text_col, model)
-    model = Model(model.terms, np.append(np.log((1 + count) / (1 + df)) + 1, 1.0))
+    z = (a - t * p) / np.sqrt(t * p * (1 - p) + 1)
+    model.weight = (np.log((1 + count) / (1 + df)) + 1) * (1 + np.maximum(0.0, z - PLAIN_Z))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.forget)
         for b in batches:
             made = [m.vector(x) for x in raw_texts(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], names=["doc_id", "toxic", "terms", "weights"]
-            )
-
-    made = rows.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(run, "doc_id long, toxic int, terms array<long>, weights array<double>").toPandas().sort_values("doc_id")
-    blank = made["terms"].map(len) == 0
-    model.base = float((made["toxic"][blank].sum() + n[1] / (n[0] + n[1])) / (blank.sum() + 1))
-    held = made[~blank]
-    model.rows = [(np.asarray(t, np.int64), np.asarray(w)) for t, w in zip(held["terms"], held["weights"])]
-    model.labels, model.ids = held["toxic"].to_numpy(float), held["doc_id"].to_numpy(np.int64)
-    # examples without any term are all alike: as many as a vote can take stand for them, with their base rate as label
-    plain = min(NEIGHBOURS + 1, int(blank.sum()))
-    model.rows += [(np.array([len(terms)]), np.ones(1))] * plain
-    model.labels = np.append(model.labels, np.full(plain, model.base))
-    model.ids = np.append(model.ids, made["doc_id"][blank].to_numpy(np.int64)[:plain])
-    if len(model.rows) > plain:
-        votes = np.array([model.vote(t, w, but=i)[0] for i, (t, w) in enumerate(model.rows[: len(held)])])
-        model.curve = _isotonic(votes, model.labels[: len(held)], model.base)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in made])]).astype(np.int32))
+            flat = lambda k, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in made] or [np.zeros(0)]).astype(kind)))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat(0, np.int32), flat(1, np.float64)], names=["doc_id", "toxic", "terms", "weights"])
+
+    made = mapped(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    lengths = made.column("terms").combine_chunks().value_lengths().to_numpy()
+    labels_, ids = made.column("toxic").to_numpy(), made.column("doc_id").to_numpy()
+    # examples without any term stand for the texts without any
+    blank = lengths == 0
+    model.base = float((labels_[blank].sum() + p) / (blank.sum() + 1))
+    starts = np.concatenate([[0], np.cumsum(lengths[~blank])])
+    model.index = Index(starts, made.column("terms").combine_chunks().flatten().to_numpy(), made.column("weights").combine_chunks().flatten().to_numpy(), len(model.terms))
+    model.labels, model.ids = labels_[~blank].astype(float), ids[~blank]
+    shared.destroy()
+    if len(model.ids):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            claim("toxicity", m.forget)
+            for b in batches:
+                own = [(*m.vector(x), i) for x, i in zip(raw_texts(b, "text"), b.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.vote(t, w, but=i)[0] if len(t) else None for t, w, i in own], pa.float64())], names=["doc_id", "vote"])
+
+        voted = mapped(rows.select("doc_id", "text"), votes, "doc_id long, vote double").where("vote IS NOT NULL").toArrow().sort_by("doc_id")
+        model.curve = _isotonic(voted.column("vote").to_numpy(), model.labels, model.base)
+        shared.destroy()
     return model
 
 
@@ -294,7 +330,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with toxicity (score from 0 to 1) and toxicity_evidence (nearest examples: id, cosine) added; no shuffle.
 
     Whole texts; a text that is null, empty or without any term has the base rate of such examples and no evidence. Rows
-    are independent; columns of these two names are replaced.
+    are independent: repeated rows get equal scores, an empty table stays empty; among examples of equal cosine the
+    smaller id is nearer. Columns of these two names are replaced, all others pass through, whatever their names.
     """
     columns = [c for c in docs.columns if c not in ("toxicity", "toxicity_evidence")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -304,13 +341,13 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         claim("toxicity", m.forget)
         for b in batches:
             made = [m.score(x) for x in raw_texts(b, text_col)]
-            evidence = pa.array([[{"doc_id": i, "cosine": s} for i, s in near] for _, near in made], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in made], pa.float64()), evidence], names=[*columns, "toxicity", "toxicity_evidence"])
-
-    from pyspark.sql import types as T
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for _, i, _ in made])]).astype(np.int32))
+            flat = lambda k, kind: pa.array(np.concatenate([x[k] for x in made] or [np.zeros(0)]).astype(kind))  # noqa: E731, B023
+            evidence = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([flat(1, np.int64), flat(2, np.float64)], ["doc_id", "cosine"]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _, _ in made], pa.float64()), evidence], names=[*columns, "toxicity", "toxicity_evidence"])
 
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("toxicity", T.DoubleType()), T.StructField("toxicity_evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())])))])
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in columns]), run, schema)
 
 
 def fold(doc_id: int) -> bool:

@@ -32,20 +32,66 @@ def test_held_out_accuracy(spark, sf):
 
 def test_index_is_exact():
     rng = np.random.default_rng(1)
-    rows = []
-    for _ in range(700):
-        t = np.unique(rng.integers(0, 40, rng.integers(1, 8)))
-        w = rng.random(len(t)) + 0.01
-        rows.append((t, w / np.sqrt(w @ w)))
-    full = np.zeros((700, 40))
-    for i, (t, w) in enumerate(rows):
-        full[i, t] = w
-    index = toxicity.Index(rows, 40)
-    for i in range(0, 700, 7):
+    full = np.where(rng.random((700, 90)) < np.linspace(0.005, 0.5, 90), rng.random((700, 90)) + 0.01, 0)
+    full = full[full.any(axis=1)]
+    full[::50] = full[0]  # ties
+    full /= np.sqrt((full * full).sum(axis=1))[:, None]
+    full = full.astype(np.float32).astype(float)
+    row, terms = np.nonzero(full)
+    starts = np.concatenate([[0], np.cumsum((full > 0).sum(axis=1))])
+    index = toxicity.Index(starts, terms, full[row, terms], 90)
+    assert (index.common >= 0).any() and (index.common < 0).any()
+    for i in range(0, len(full), 7):
         cosine = full @ full[i]
-        want = [e for e in np.lexsort((np.arange(700), -cosine)) if cosine[e] > 0 and e != i][:24]
-        got = index.nearest(*rows[i], 24, but=i)
-        assert np.allclose([s for _, s in got], cosine[want], atol=1e-12)
+        want = [e for e in np.lexsort((np.arange(len(full)), -cosine.round(12))) if cosine[e] > 0][:24]
+        got, score = index.nearest(np.flatnonzero(full[i]), full[i][full[i] > 0], 24)
+        assert np.allclose(score, cosine[want], atol=1e-9) and np.allclose(cosine[got], score, atol=1e-9)
+        assert i % 50 or list(got[:5]) == want[:5]
+
+
+def test_scores_and_evidence_equal_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    held = {i: {} for i in texts}
+    for i, x in texts.items():
+        for chunk in x.split():
+            for t in toxicity.terms_of(chunk):
+                if t in model.terms:
+                    held[i][t] = held[i].get(t, 0) + 1
+    df = {t: sum(t in h for h in held.values()) for t in model.terms}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and not toxicity.fold(r.doc_id)}
+    p = sum(toxic.values()) / len(toxic)
+
+    def weigh(t):
+        own = [toxic[i] for i in toxic if t in held[i]]
+        z = (sum(own) - len(own) * p) / np.sqrt(len(own) * p * (1 - p) + 1)
+        return (np.log((1 + len(texts)) / (1 + df[t])) + 1) * (1 + max(0, z - toxicity.PLAIN_Z))
+
+    weight = {t: weigh(t) for t in model.terms}
+    assert all(abs(model.weight[i] - weight[t]) < 1e-9 for t, i in model.terms.items())
+
+    def unit(h):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in h.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(h) for i, h in held.items() if h}
+    examples = sorted(i for i in toxic if i in vectors)
+    assert list(model.ids) == examples and list(model.labels) == [toxic[i] for i in examples]
+    for r in toxicity.scored(docs, model).collect():
+        if r.doc_id not in vectors:
+            assert r.toxicity == model.base and not r.toxicity_evidence
+            continue
+        own = vectors[r.doc_id]
+        cosine = np.array([sum(w * vectors[e].get(t, 0.0) for t, w in own.items()) for e in examples])
+        near = sorted((c for c in cosine if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([e.cosine for e in r.toxicity_evidence], near, atol=1e-5)
+        assert np.allclose([cosine[examples.index(e.doc_id)] for e in r.toxicity_evidence], near, atol=1e-5)
+        got = [examples.index(e.doc_id) for e in r.toxicity_evidence]
+        closeness = 1 / (1.05 - cosine[got])
+        vote = (closeness @ np.array([toxic[examples[i]] for i in got]) + model.base) / (closeness.sum() + 1)
+        assert abs(r.toxicity - np.interp(vote, *model.curve)) < 1e-3
 
 
 def test_odd_rows(spark):
