@@ -34,8 +34,8 @@ LEAST_EXAMPLES = 2
 #: A term whose frequency in toxic examples exceeds its overall rate by z > PLAIN_Z standard deviations weighs 1 + z - PLAIN_Z times as much.
 PLAIN_Z = 4.0
 #: Neighbours that vote; examples of a block; share of the examples from which a term is common.
-NEIGHBOURS, BLOCK, COMMON, FOLDS = 24, 64, 1 / 16, 5
-BEGINNINGS = (4, 6)
+NEIGHBOURS, BLOCK, COMMON, FOLDS = 24, 256, 1 / 16, 5
+BEGINNINGS = (5,)
 _word = regex.compile(r"\p{L}+")
 
 
@@ -142,7 +142,7 @@ class Index:
         self.size, self.blocks = n, -(-n // BLOCK)
         row = np.repeat(np.arange(n), np.diff(starts))
         often = np.bincount(terms, minlength=size)
-        common = np.flatnonzero(often > max(BLOCK, COMMON * n))
+        common = np.flatnonzero(often > max(64, COMMON * n))
         self.common = np.full(size, -1, np.int32)
         self.common[common] = np.arange(len(common))
         c = self.common[terms]
@@ -153,9 +153,11 @@ class Index:
         self.order = np.lexsort((np.arange(n), strongest))
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
-        self.dense = np.zeros((len(common), self.blocks, BLOCK), np.float32)
-        self.dense.reshape(len(common), self.blocks * BLOCK)[c[c >= 0], place[row[c >= 0]]] = weights[c >= 0]
-        self.most = self.dense.max(axis=2) if n else np.zeros((len(common), 0), np.float32)
+        dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        dense[place[row[c >= 0]], c[c >= 0]] = weights[c >= 0]
+        # by block, then term, then example: what a query reads of a block lies together
+        self.dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, len(common)).transpose(0, 2, 1))
+        self.most = self.dense.max(axis=2).T.copy() if n else np.zeros((len(common), 0), np.float32)
         rare = np.flatnonzero(c < 0)
         rare = rare[np.lexsort((place[row[rare]], terms[rare]))]
         self.at, self.impact = place[row[rare]].astype(np.int32), weights[rare].astype(np.float32)
@@ -165,31 +167,32 @@ class Index:
         """The k examples of the largest positive cosine (ties: smaller number), exact, and those cosines."""
         c = self.common[terms]
         rare, often = c < 0, c[c >= 0]
-        first, length = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        first = self.starts[terms[rare]]
+        length = self.starts[terms[rare] + 1] - first
         shift = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         sums = np.bincount(self.at[shift], self.impact[shift] * np.repeat(weights[rare], length), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        q = weights[~rare].astype(np.float32)
+        w = weights[~rare]
+        q = w.astype(np.float32)
         bounds = sums.max(axis=1) + (q @ self.most[often]) * (1 + 1e-5)
-        todo = np.argsort(-bounds, kind="stable")
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(todo):
-            own = todo[at : at + step]
-            least = score[-1] if len(score) >= k else 0.0
-            own = own[(bounds[own] > 0) & (bounds[own] >= least - 1e-6)]
-            if not len(own):
+        # single precision chooses with a margin what double precision then compares
+        best, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or bounds[b] < least - 1e-6:
                 break
-            made = sums[own]
-            if len(often):
-                made = made + np.einsum("i,ijk->jk", weights[~rare], self.dense[often[:, None], own[None, :]])
-            b, i = np.nonzero((made > 0) & (made >= least - 1e-9))
-            place = own[b] * BLOCK + i
-            inside = place < self.size
-            best, score = np.concatenate([best, self.order[place[inside]]]), np.concatenate([score, made[b, i][inside]])
-            top = np.lexsort((best, -score))[:k]
-            best, score = best[top], score[top]
-            at, step = at + step, min(2 * step, 32)
-        return best, score
+            own = self.dense[b].take(often, axis=0)
+            made = sums[b] + q @ own
+            i = np.flatnonzero((made > 0) & (made >= least - 1e-5))
+            i = i[i + b * BLOCK < self.size]
+            if not len(i):
+                continue
+            exact = sums[b, i] + w @ own[:, i].astype(np.float64)
+            best, score = np.concatenate([best, self.order[i + b * BLOCK]]), np.concatenate([score, exact])
+            if len(best) > k:
+                top = np.lexsort((best, -score))[:k]
+                best, score = best[top], score[top]
+                least = score[-1]
+        top = np.lexsort((best, -score))[:k]
+        return best[top], score[top]
 
 
 def _term_counts(sample: DataFrame) -> pa.Table:
