@@ -112,23 +112,43 @@ def same(a: Column, b: Column) -> Column:
     return test
 
 
-#: Relation name to predicate over (a, b); definitions by bounding box. Those on shape intersection use orthogonality.
+def shares(a: Column, b: Column) -> Column:
+    """They have a common axis and overlap on each one that they have in common."""
+    test = ~orthogonal(a, b)
+    for lo, hi in AXES:
+        test = test & (~_both(a, b, lo) | F.coalesce((a[lo] <= b[hi]) & (a[hi] >= b[lo]), F.lit(False)))
+    return test
+
+
+def alike(a: Column, b: Column) -> Column:
+    """The same up to EPS."""
+    test = F.lit(True)
+    for n in FIELDS:
+        test = test & F.coalesce(F.abs(a[n] - b[n]) < EPS, a[n].isNull() & b[n].isNull())
+    return test
+
+
+#: Difference below which coordinates are equal.
+EPS = 1e-6
+#: Relation name to predicate over (a, b); definitions by bounding box.
 SPATIAL = {
     "contains": contains,
-    "equals": same,
-    "intersects": orthogonal,
+    "equals": alike,
+    "intersects": shares,
     "within": lambda a, b: contains(b, a) & ~same(a, b),
-    "covers": lambda a, b: contains(b, a),
+    "covers": contains,
     "beside": lambda a, b: left(a, b) | right(a, b),
-    "disjoint": lambda a, b: ~orthogonal(a, b),
-    "overlaps": orthogonal,
+    "disjoint": lambda a, b: ~shares(a, b),
+    "overlaps": shares,
     "above": above,
     "below": below,
     "left": left,
     "right": right,
-    "crosses": orthogonal,
+    "crosses": shares,
     "touches": touches,
 }
+#: The older meaning of some: no common axis stands for intersection, and covers is covered-by.
+COMPATIBLE = SPATIAL | {"intersects": orthogonal, "overlaps": orthogonal, "crosses": orthogonal, "disjoint": lambda a, b: ~orthogonal(a, b), "covers": lambda a, b: contains(b, a)}
 
 
 def interval(name: str, s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

@@ -30,7 +30,9 @@ def double(x: Column) -> Column:
 
 
 def temporal(x: Column) -> Column:
-    return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("^^Temporal"))
+    """In UTC, with as many decimals of a second as there are."""
+    stamp = F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(stamp, r"\.0+$|(\.\d*?[1-9])0+$", "$1"), F.lit("Z^^Temporal"))
 
 
 def vector(x: Column) -> Column:
@@ -60,6 +62,11 @@ def number(k: Column) -> Column:
     return F.when(is_numeric(k), F.substring_index(k, "^^", 1).try_cast("double"))
 
 
+def whole(k: Column) -> Column:
+    """The value of a long, exact; null where it isn't one."""
+    return F.when(k.endswith("^^Long"), F.substring_index(k, "^^", 1).try_cast("long"))
+
+
 def elements(k: Column) -> Column:
     """The components of a vector literal; null where it isn't one or a component is bad."""
     inner = F.regexp_extract(k, r"^\[(.*)\]\^\^(?:Double|Long|Float)Vector$", 1)

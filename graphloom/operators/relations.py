@@ -13,7 +13,7 @@ from graphloom.operators import similarity
 
 BASE = "http://graphloom.example/"
 SCHEMA, IMPLICIT, DERIVED = BASE + "schema#", BASE + "implicit/", BASE + "derived/"
-SEGMENT_OF, SEGMENT_BOUNDS, EMBEDDING = f"<{SCHEMA}segmentOf>", f"<{SCHEMA}segmentBounds>", f"<{DERIVED}clipEmbedding>"
+SEGMENT_OF, SEGMENT_BOUNDS, BOUNDS, EMBEDDING = f"<{SCHEMA}segmentOf>", f"<{SCHEMA}segmentBounds>", f"<{SCHEMA}bounds>", f"<{DERIVED}clipEmbedding>"
 
 
 def vectors_of(quads: DataFrame, predicate: str) -> DataFrame:
@@ -27,25 +27,35 @@ def siblings(quads: DataFrame, predicate: str = SEGMENT_OF) -> DataFrame:
     return own.join(own.withColumnRenamed("s", "o"), "parent").where("s <> o").select("s", "o").distinct()
 
 
-def spatial(quads: DataFrame, name: str) -> DataFrame:
-    """Pairs of siblings whose bounds stand in the relation: an equi-join on the parent with a predicate on columns."""
+def _bounded(quads: DataFrame, bounds_of: str) -> tuple[DataFrame, DataFrame]:
+    """Siblings' bounds twice: (parent, s, b) and (parent, o, c)."""
     parent = quads.where(F.col("p") == SEGMENT_OF).select("s", F.col("o").alias("parent"))
-    own = parent.join(quads.where(F.col("p") == SEGMENT_BOUNDS).select("s", bounds.parse(terms.lexical(F.col("o"))).alias("b")), "s")
-    other = own.select("parent", F.col("s").alias("o"), F.col("b").alias("c"))
-    return own.join(other, "parent").where((F.col("s") != F.col("o")) & bounds.SPATIAL[name](F.col("b"), F.col("c"))).select("s", "o").distinct()
+    own = parent.join(quads.where(F.col("p") == bounds_of).select("s", bounds.parse(terms.lexical(F.col("o"))).alias("b")), "s")
+    return own, own.select("parent", F.col("s").alias("o"), F.col("b").alias("c"))
 
 
-def temporal(quads: DataFrame, name: str) -> DataFrame:
-    """Pairs of siblings whose time bounds stand in the relation."""
-    parent = quads.where(F.col("p") == SEGMENT_OF).select("s", F.col("o").alias("parent"))
-    own = parent.join(quads.where(F.col("p") == SEGMENT_BOUNDS).select("s", bounds.parse(terms.lexical(F.col("o"))).alias("b")), "s")
-    other = own.select("parent", F.col("s").alias("o"), F.col("b").alias("c"))
+def spatial(quads: DataFrame, name: str, compatible: bool = False) -> DataFrame:
+    """Pairs of siblings whose bounds stand in the relation: an equi-join on the parent with a predicate on columns. The
+    compatible meaning of a few relations is that of bounds.COMPATIBLE."""
+    own, other = _bounded(quads, SEGMENT_BOUNDS)
+    test = (bounds.COMPATIBLE if compatible else bounds.SPATIAL)[name]
+    return own.join(other, "parent").where((F.col("s") != F.col("o")) & test(F.col("b"), F.col("c"))).select("s", "o").distinct()
+
+
+def temporal(quads: DataFrame, name: str, kind: str = "segment") -> DataFrame:
+    """Pairs of siblings whose time bounds stand in the relation: those of the segments, or (kind object) those of the
+    objects that they are."""
+    own, other = _bounded(quads, SEGMENT_BOUNDS if kind == "segment" else BOUNDS)
     test = bounds.interval(name, F.col("b.t0"), F.col("b.t1"), F.col("c.t0"), F.col("c.t1"))
     return own.join(other, "parent").where((F.col("s") != F.col("o")) & test).select("s", "o").distinct()
 
 
-def same_prefix(quads: DataFrame) -> DataFrame:
-    """The ends of quads whose IRIs share everything up to their last slash."""
+def same_prefix(quads: DataFrame, bound: str | None = None) -> DataFrame:
+    """The ends of quads whose IRIs share everything up to their last slash; with a bound end, that end and every IRI subject
+    that begins with its text up to there."""
+    if bound is not None:
+        near = quads.where(F.col("s").startswith(bound.rstrip(">").rpartition("/")[0] + "/") & terms.is_iri(F.col("s")))
+        return near.select(F.lit(bound).alias("s"), F.col("s").alias("o")).distinct()
     head = lambda c: F.regexp_extract(c, r"^<(.*)/[^/]*>$", 1)
     return quads.where(terms.is_iri(F.col("s")) & terms.is_iri(F.col("o")) & (head(F.col("s")) != "") & (head(F.col("s")) == head(F.col("o")))).select("s", "o").distinct()
 
@@ -57,12 +67,21 @@ _RULES: list[tuple[re.Pattern, Callable[[DataFrame, re.Match], DataFrame]]] = [
     (re.compile(r"segmentSibling$"), lambda q, m: siblings(q)),
     (re.compile(r"samePrefix$"), lambda q, m: same_prefix(q)),
     (re.compile(r"spatial/(" + "|".join(bounds.SPATIAL) + r")$"), lambda q, m: spatial(q, m[1])),
-    (re.compile(r"temporal/(?:object|segment)/(" + "|".join(bounds.TEMPORAL) + r")$"), lambda q, m: temporal(q, m[1])),
+    (re.compile(r"temporal/(object|segment)/(" + "|".join(bounds.TEMPORAL) + r")$"), lambda q, m: temporal(q, m[2], m[1])),
 ]
 
 
-def expand(quads: DataFrame, predicate: str) -> DataFrame | None:
-    """The pairs (s, o) of a virtual predicate; None if it isn't one."""
+def register(pattern: str, make: Callable[[DataFrame, re.Match], DataFrame]) -> None:
+    """Adds a virtual relation: make(quads, match) gives its pairs (s, o) when a query names an IRI of IMPLICIT whose rest
+    matches the pattern. Later ones go first."""
+    _RULES.insert(0, (re.compile(pattern), make))
+
+
+def expand(quads: DataFrame, predicate: str, s: str | None = None, o: str | None = None) -> DataFrame | None:
+    """The pairs (s, o) of a virtual predicate; None if it isn't one. s and o are ends that the query binds."""
+    if predicate == f"<{IMPLICIT}samePrefix>" and (s or o):
+        found = same_prefix(quads, s or o)
+        return found if s else found.select(F.col("o").alias("s"), F.col("s").alias("o"))
     if predicate.startswith(f"<{IMPLICIT}"):
         name = predicate[len(IMPLICIT) + 1 : -1]
         for pattern, make in _RULES:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import bounds, terms
-from graphloom.operators import relations, similarity, traversal
+from graphloom.functions import bounds, segments, terms
+from graphloom.operators import derived, relations, similarity, traversal
 from graphloom.operators.store import QuadStore
 from graphloom.plans.sparql import plain, select
 from graphloom.sources import tables as T
@@ -192,17 +192,20 @@ def near_pairs(spark, sf_dir):
     return found.select(_tail("s").alias("id"), _tail("o").alias("other"))
 
 
-_BOX = "(SELECT p_partkey AS k, p_partkey // 20 AS parent, p_partkey * 7 % 50 AS x0, p_partkey * 7 % 50 + p_partkey % 9 + 1 AS x1, p_partkey * 13 % 40 AS y0, p_partkey * 13 % 40 + p_partkey % 5 + 1 AS y1 FROM part)"
+_BOX = """(SELECT k, parent, j * 7 % 50 AS x0, j * 7 % 50 + (j % 9 + 1) * CASE WHEN j % 3 = 0 THEN 4 ELSE 1 END AS x1, j * 13 % 40 AS y0, j * 13 % 40 + (j % 5 + 1) * CASE WHEN j % 3 = 0 THEN 6 ELSE 1 END AS y1
+    FROM (SELECT p_partkey AS k, p_partkey // 20 AS parent, CASE WHEN p_partkey % 20 = 19 THEN p_partkey - 1 ELSE p_partkey END AS j FROM part))"""
 _INSIDE = "{0}.x0 <= {1}.x0 AND {0}.x1 >= {1}.x1 AND {0}.y0 <= {1}.y0 AND {0}.y1 >= {1}.y1"
 _SAME = "a.x0 = b.x0 AND a.x1 = b.x1 AND a.y0 = b.y0 AND a.y1 = b.y1"
+_MEET = "greatest(a.x0, b.x0) <= least(a.x1, b.x1) AND greatest(a.y0, b.y0) <= least(a.y1, b.y1)"
 _SPATIAL = {
-    "contains": _INSIDE.format("a", "b"), "within": f"{_INSIDE.format('b', 'a')} AND NOT ({_SAME})", "covers": _INSIDE.format("b", "a"), "equals": _SAME, "above": "a.y0 > b.y1", "below": "a.y1 < b.y0", "left": "a.x1 < b.x0", "right": "a.x0 > b.x1",
-    "beside": "(a.x1 < b.x0 OR a.x0 > b.x1)", "disjoint": "TRUE", "intersects": "FALSE", "overlaps": "FALSE", "crosses": "FALSE", "touches": "(a.x0 = b.x1 OR a.x1 = b.x0 OR a.y0 = b.y1 OR a.y1 = b.y0)",
+    "contains": _INSIDE.format("a", "b"), "within": f"{_INSIDE.format('b', 'a')} AND NOT ({_SAME})", "covers": _INSIDE.format("a", "b"), "equals": _SAME, "above": "a.y0 > b.y1", "below": "a.y1 < b.y0", "left": "a.x1 < b.x0", "right": "a.x0 > b.x1",
+    "beside": "(a.x1 < b.x0 OR a.x0 > b.x1)", "disjoint": f"NOT ({_MEET})", "intersects": _MEET, "overlaps": _MEET, "crosses": _MEET, "touches": "(a.x0 = b.x1 OR a.x1 = b.x0 OR a.y0 = b.y1 OR a.y1 = b.y0)",
 }
 for _name, _test in _SPATIAL.items():
 
     def _spatial(spark, sf_dir, name=_name):
-        return relations.spatial(T.segments(spark, sf_dir), name).select(_tail("s").alias("id"), _tail("o").alias("other"))
+        pairs = select(PREFIX + "SELECT ?a ?b WHERE { ?a <" + relations.IMPLICIT + f"spatial/{name}> ?b }}", T.segments(spark, sf_dir))
+        return pairs.select(_tail("a").alias("id"), _tail("b").alias("other"))
 
     QUERIES[f"spatial_{_name}"] = _spatial
     ORACLE[f"spatial_{_name}"] = f"SELECT a.k AS id, b.k AS other FROM {_BOX} a JOIN {_BOX} b ON a.parent = b.parent AND a.k <> b.k WHERE {_test}"
@@ -214,22 +217,17 @@ def segment_siblings(spark, sf_dir):
     return pairs.select(_tail("a").alias("id"), _tail("b").alias("other"))
 
 
-def _intervals(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("u"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("s"))
-    return e.withColumn("e", F.col("s") + F.col("event_id") % 7 * 3600 + 60)
-
-
 for _name in bounds.TEMPORAL:
     _sql = {"after": "a.s >= b.e", "precedes": "a.e < b.s", "finishes": "a.e = b.e AND a.s > b.s", "meets": "(a.s = b.e OR a.e = b.s)", "starts": "a.s = b.s AND a.e < b.e", "contains": "a.s < b.s AND a.e > b.e", "equals": "a.s = b.s AND a.e = b.e", "overlaps": "((a.s < b.s AND b.s < a.e AND a.e < b.e) OR (b.s < a.s AND a.s < b.e AND b.e < a.e))"}[_name]
+    for _kind, _more in (("segment", 1), ("object", 2)):
 
-    def _temporal(spark, sf_dir, name=_name):
-        a = _intervals(spark, sf_dir)
-        b = a.select("u", F.col("event_id").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-        return a.join(b, "u").where((F.col("event_id") != F.col("other")) & bounds.interval(name, F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).select(F.col("event_id").alias("id"), "other")
+        def _temporal(spark, sf_dir, name=_name, kind=_kind):
+            pairs = select(PREFIX + "SELECT ?a ?b WHERE { ?a <" + relations.IMPLICIT + f"temporal/{kind}/{name}> ?b }}", T.event_segments(spark, sf_dir))
+            return pairs.select(_tail("a").alias("id"), _tail("b").alias("other"))
 
-    _from = "(SELECT event_id, user_id AS u, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + event_id % 7 * 3600 + 60 AS e FROM events)"
-    QUERIES[f"temporal_{_name}"] = _temporal
-    ORACLE[f"temporal_{_name}"] = f"SELECT a.event_id AS id, b.event_id AS other FROM {_from} a JOIN {_from} b ON a.u = b.u AND a.event_id <> b.event_id WHERE {_sql}"
+        _from = f"(SELECT event_id, user_id AS u, floor(epoch_us(ts) / 86400000000) AS s, floor(epoch_us(ts) / 86400000000) + event_id % 4 + {_more} AS e FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL)"
+        QUERIES[f"temporal_{_kind}_{_name}"] = _temporal
+        ORACLE[f"temporal_{_kind}_{_name}"] = f"SELECT DISTINCT a.event_id AS id, b.event_id AS other FROM {_from} a JOIN {_from} b ON a.u = b.u AND a.event_id <> b.event_id WHERE {_sql}"
 
 
 @_query("SELECT DISTINCT a.conv_id || '-' || a.turn AS s, b.conv_id || '-' || b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE (SELECT count(DISTINCT c.turn) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn BETWEEN a.turn AND b.turn) = b.turn - a.turn + 1")
@@ -257,18 +255,158 @@ def bounds_accessors(spark, sf_dir):
     return df.select(_tail("a").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("width", "height", "area")])
 
 
-@_query("SELECT event_type AS kind, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
+@_query("SELECT event_type AS kind, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
 def statistics(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.round(F.avg("value"), 6).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "kind")
+    made = derived.statistics(e, "value", "kind")
+    return made.select("kind", "count", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95", "p99", "std")])
+
+
+@_query("SELECT round(regr_slope(log10(o_totalprice), log10(o_orderkey)), 9) AS slope FROM orders WHERE o_totalprice > 0 AND o_orderkey > 0")
+def log_log_slope(spark, sf_dir):
+    return derived.log_log_slope(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice").select(F.round("slope", 9).alias("slope"))
+
+
+@_query("SELECT p_size AS image, round(sum((p_partkey % 7) / 7.0 * (p_partkey % 3) / 2.0) / greatest(sum((p_partkey % 3) / 2.0), 1), 9) AS r, round(sum((p_partkey % 3) / 2.0) / greatest(sum((p_partkey % 3) / 2.0), 1), 9) AS g, CAST(0 AS DOUBLE) AS b FROM part GROUP BY p_size")
+def average_colors(spark, sf_dir):
+    k = F.col("p_partkey")
+    pixels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("image"), (k % 7 / 7.0).alias("r"), F.lit(1.0).alias("g"), F.lit(0.0).alias("b"), (k % 3 / 2.0).alias("alpha"))
+    return derived.average_colors(pixels).select("image", *[F.round(c, 9).alias(c) for c in "rgb"])
+
+
+@_query("SELECT doc_id AS id, substr(text, 3, 5) || '   ' || substr(text, 11, 10) AS part FROM documents WHERE length(text) >= 20")
+def text_segments(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) >= 20")
+    return docs.select(F.col("doc_id").alias("id"), segments.text_segment(F.col("text"), segments.interval_column(F.lit("2-7,10-20"))).alias("part"))
+
+
+@_query(f"SELECT k AS id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM {_BOX}")
+def segment_areas(spark, sf_dir):
+    held = T.segments(spark, sf_dir).where(F.col("p") == relations.SEGMENT_BOUNDS)
+    rect = F.regexp_replace(terms.lexical(F.col("o")), ",-,-,-,-$", "")
+    return held.select(_tail("s").alias("id"), segments.described(F.lit("rect"), rect)["area"].alias("area"))
+
+
+@_query(f"SELECT a.k AS id, b.k AS other FROM {_BOX} a JOIN {_BOX} b ON a.parent = b.parent AND a.k < b.k WHERE {_INSIDE.format('a', 'b')}")
+def segment_contains(spark, sf_dir):
+    own = T.segments(spark, sf_dir)
+    held = own.where(F.col("p") == relations.SEGMENT_BOUNDS).select("s", F.regexp_replace(terms.lexical(F.col("o")), ",-,-,-,-$", "").alias("d"))
+    of = held.join(own.where(F.col("p") == relations.SEGMENT_OF).select("s", F.col("o").alias("parent")), "s").select(_tail("s").alias("id"), "parent", "d")
+    both = of.join(of.select(F.col("id").alias("other"), "parent", F.col("d").alias("e")), "parent").where("id < other")
+    return both.where(segments.related("contains", F.lit("rect"), F.col("d"), F.lit("rect"), F.col("e"))).select("id", "other")
+
+
+@_query("SELECT 'part/' || p_partkey AS s, 'part/' || (p_partkey // 20) AS o FROM part WHERE p_partkey // 20 IN (SELECT p_partkey FROM part) AND p_partkey // 20 <> p_partkey")
+def same_prefix(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    known = part.select(F.col("p_partkey").alias("k"))
+    edges = part.select("p_partkey", F.floor(F.col("p_partkey") / 20).alias("k")).join(known, "k").where("k <> p_partkey")
+    quads = edges.select(T.node("part", "p_partkey").alias("s"), F.lit(f"<{T.EX}near>").alias("p"), T.node("part", "k").alias("o")).unionByName(T.quads(spark, sf_dir, "supplier"))
+    found = select(PREFIX + "SELECT ?s ?o WHERE { ?s i:samePrefix ?o }", quads)
+    return found.select(*[F.regexp_extract(c, r"/t/(.*)>$", 1).alias(c) for c in "so"])
+
+
+@_query("SELECT 'nation' AS kind, n_nationkey AS id FROM nation")
+def same_prefix_of_one(spark, sf_dir):
+    found = select(PREFIX + "SELECT ?o WHERE { <" + T.EX + "nation/0> i:samePrefix ?o }", T.quads(spark, sf_dir, "nation", "region"))
+    return found.select(F.regexp_extract("o", r"/t/(\w+)/", 1).alias("kind"), _tail("o").alias("id"))
+
+
+@_query("SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'FRANCE'")
+def sparql_optional_between(spark, sf_dir):
+    df = select(PREFIX + "SELECT ?c ?o WHERE { ?c t:c_name ?name OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 300000) } ?c t:c_nationkey ?n . ?n t:n_name 'FRANCE' }", T.quads(spark, sf_dir, "customer", "orders", "nation"))
+    return df.select(_tail("c"), _tail("o"))
+
+
+@_query("SELECT user_id AS u, CAST(sum(9007199254740993 + event_id) AS VARCHAR) AS total, CAST(max(9007199254740993 + event_id) AS VARCHAR) AS most FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY user_id")
+def sparql_exact_longs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL AND event_id IS NOT NULL")
+    s = T.node("event", "event_id")
+    quads = e.select(s.alias("s"), F.lit(f"<{T.EX}big>").alias("p"), terms.long(F.col("event_id") + F.lit(9007199254740993)).alias("o")).unionByName(e.select(s.alias("s"), F.lit(f"<{T.EX}user>").alias("p"), terms.long(F.col("user_id")).alias("o")))
+    df = plain(select(PREFIX + "SELECT ?u (SUM(?v) AS ?total) (MAX(?v) AS ?most) WHERE { ?e t:big ?v ; t:user ?u } GROUP BY ?u", quads))
+    return df.select(F.col("u").cast("long").alias("u"), "total", "most")
+
+
+@_query("SELECT p_partkey AS p, split_part(p_brand, '#', 1) AS a, regexp_replace(p_brand, 'BRAND', 'b', 'gi') AS b, list_aggregate(list_sort([p_type, p_brand]), 'string_agg', '|') AS c FROM part")
+def sparql_strings(spark, sf_dir):
+    q = "SELECT ?p (STRBEFORE(?x, ?h) AS ?a) (REPLACE(?x, 'BRAND', 'b', 'i') AS ?b) (GROUP_CONCAT(?v; SEPARATOR='|') AS ?c) WHERE { ?p t:p_brand ?x BIND('#' AS ?h) { ?p t:p_brand ?v } UNION { ?p t:p_type ?v } } GROUP BY ?p ?x ?h"
+    df = plain(select(PREFIX + q, T.quads(spark, sf_dir, "part")))
+    return df.select(_tail("p"), "a", "b", "c")
+
+
+@_query(f"SELECT k AS id, CAST((x0 + x1) / 2.0 AS DOUBLE) AS x, CAST(x1 - x0 AS DOUBLE) AS w, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM {_BOX}")
+def accessors_of_nodes(spark, sf_dir):
+    held = T.segments(spark, sf_dir)
+    both = held.unionByName(held.where(F.col("p") == relations.SEGMENT_BOUNDS).withColumn("p", F.lit(relations.BOUNDS)))
+    df = plain(select(PREFIX + "SELECT ?a (SEGMENT_CENTER(?a) AS ?x) (WIDTH(?a) AS ?w) (BOUNDS_AREA(?a) AS ?area) WHERE { ?a s:segmentOf ?p }", both))
+    return df.select(_tail("a").alias("id"), F.substring_index("x", ",", 1).cast("double").alias("x"), F.col("w").cast("double").alias("w"), F.col("area").cast("double").alias("area"))
+
+
+@_query("SELECT DISTINCT c_mktsegment AS m FROM customer")
+def sparql_reduced(spark, sf_dir):
+    return plain(select(PREFIX + "SELECT REDUCED ?m WHERE { ?c t:c_mktsegment ?m }", T.quads(spark, sf_dir, "customer")))
+
+
+@_query("SELECT count(*) AS n FROM (SELECT * FROM customer LIMIT 7)")
+def sparql_limit(spark, sf_dir):
+    return select(PREFIX + "SELECT ?c WHERE { ?c t:c_name ?n } LIMIT 7", T.quads(spark, sf_dir, "customer")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT n_regionkey AS r, count(*) AS n, TRUE AS known FROM nation GROUP BY n_regionkey")
+def sparql_sample(spark, sf_dir):
+    df = plain(select(PREFIX + "SELECT ?r (COUNT(*) AS ?n) (SAMPLE(?name) AS ?one) WHERE { ?x t:n_regionkey ?r ; t:n_name ?name } GROUP BY ?r", T.quads(spark, sf_dir, "nation")))
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("one"), F.col("n_regionkey").alias("k"))
+    return df.join(names, "one").select(_tail("r"), F.col("n").cast("long").alias("n"), (F.regexp_extract("r", r"(\d+)$", 1).cast("long") == F.col("k")).alias("known"))
+
+
+@_query(f"SELECT b.vec_id AS id, round(1 - {_COS}, 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY round(1 - {_COS}, 9) DESC, 'vec/' || b.vec_id LIMIT 10")
+def knn_farthest(spark, sf_dir):
+    query = [float(x) for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id = 3").first().embedding]
+    return QuadStore(T.embeddings(spark, sf_dir)).knn(relations.EMBEDDING, query, 10, farthest=True).select(_tail("s").alias("id"), F.round("distance", 6).alias("distance"))
+
+
+@_query("SELECT b.vec_id AS id, round(-list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, 'vec/' || b.vec_id LIMIT 10")
+def knn_dot(spark, sf_dir):
+    query = [float(x) for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id = 3").first().embedding]
+    return QuadStore(T.embeddings(spark, sf_dir)).knn(relations.EMBEDDING, query, 10, distance="dot").select(_tail("s").alias("id"), F.round("distance", 6).alias("distance"))
+
+
+@_query(f"SELECT b.vec_id AS id, round({_COS}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3")
+def sparql_cosine(spark, sf_dir):
+    q = "SELECT ?v (COSINE_SIM(?x, ?y) AS ?sim) WHERE { <" + T.EX + "vec/3> <" + relations.DERIVED + "clipEmbedding> ?x . ?v <" + relations.DERIVED + "clipEmbedding> ?y FILTER(?v != <" + T.EX + "vec/3>) }"
+    df = plain(select(PREFIX + q, T.embeddings(spark, sf_dir)))
+    return df.select(_tail("v").alias("id"), F.round(F.col("sim").cast("double"), 6).alias("sim"))
+
+
+@_query("SELECT 'in' AS part, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey FROM customer WHERE c_nationkey = 7 UNION ALL SELECT s_suppkey FROM supplier WHERE s_nationkey = 7) HAVING count(*) > 0 UNION ALL SELECT 'out', 2 FROM nation WHERE n_nationkey = 7")
+def about_node(spark, sf_dir):
+    return QuadStore(T.quads(spark, sf_dir, "nation", "customer", "supplier")).about(f"<{T.EX}nation/7>").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT k AS id, CAST(row_number() OVER (ORDER BY (x1 - x0) * (y1 - y0) DESC, 'part/' || k || '>') AS DOUBLE) AS rank FROM {_BOX} WHERE parent = 1")
+def about_segments(spark, sf_dir):
+    return QuadStore(T.segments(spark, sf_dir)).about(f"<{T.EX}sheet/1>").where("part = 'segment'").select(_tail("s").alias("id"), "rank")
+
+
+@_query("SELECT CAST((SELECT count(*) FROM part) * 2 - 2 * (SELECT count(*) FROM part WHERE p_partkey // 20 = 1) AS BIGINT) AS n")
+def delete_cascade(spark, sf_dir):
+    return QuadStore(T.segments(spark, sf_dir)).delete_object(f"<{T.EX}sheet/1>").quads.agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey AS id, p_brand AS o FROM part WHERE p_brand = 'Brand#11' OR p_partkey = 3")
+def quads_ends(spark, sf_dir):
+    store = QuadStore(T.quads(spark, sf_dir, "part"))
+    both = store.filter_object("Brand#11^^String").unionByName(QuadStore(store.filter_subject(f"<{T.EX}part/3>")).filter_predicate(f"<{T.EX}p_brand>")).distinct()
+    return both.select(_tail("s").alias("id"), terms.lexical(F.col("o")).alias("o"))
 
 
 def relevance_feedback(spark, sf_dir):
-    """Vectors like those of label 1 and unlike those of label 2, from ten examples each."""
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label IN (1, 2)").orderBy("vec_id").groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 10).alias("ids"))
-    ids = {r.label: [f"<{T.EX}vec/{i}>" for i in r.ids] for r in df.collect()}
-    return QuadStore(T.embeddings(spark, sf_dir)).relevance_feedback(relations.EMBEDDING, ids.get(1, []), ids.get(2, []), 20).select(_tail("s").alias("id"), "score")
+    """Vectors like those of label 1 and unlike those of label 2, from ten examples each. No SQL: the classifier is iterative;
+    tests compare it with a plain one."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    examples = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label IN (1, 2)").select("vec_id", "label", rank.alias("rank")).where("rank <= 10").collect()
+    ids = {n: [f"<{T.EX}vec/{r.vec_id}>" for r in examples if r.label == n] for n in (1, 2)}
+    return QuadStore(T.embeddings(spark, sf_dir)).relevance_feedback(relations.EMBEDDING, ids[1], ids[2], 20).select(_tail("s").alias("id"), "score")
 
 
 QUERIES["relevance_feedback"] = relevance_feedback

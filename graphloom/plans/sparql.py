@@ -7,14 +7,17 @@ paths joins, unions and frontier loops. Errors in expressions are nulls, which f
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import bounds, terms
 from graphloom.operators import relations, traversal
+from graphloom.sources.files import BUCKET, of_predicates
 
 XSD, RDF_TYPE = "http://www.w3.org/2001/XMLSchema#", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 _TOKEN = re.compile(
@@ -421,12 +424,12 @@ def _double(x: float) -> str:
     return repr(x)
 
 
-# expression values: ("term", key) | ("num", value, is double) | ("str", text) | ("bool", test)
+# expression values: ("term", key[, constant key]) | ("num", value, is double[, exact long]) | ("str", text) | ("bool", test)
 def _term(v) -> Column:
     if v[0] == "term":
         return v[1]
     if v[0] == "num":
-        return F.when(v[2], terms.double(v[1])).otherwise(terms.long(v[1]))
+        return F.when(v[2], terms.double(v[1])).otherwise(terms.long(F.coalesce(_long(v), v[1].cast("long"))))
     return terms.string(v[1])
 
 
@@ -434,6 +437,11 @@ def _num(v) -> Column:
     return v[1] if v[0] == "num" else terms.number(v[1]) if v[0] == "term" else v[1].try_cast("double") if v[0] == "str" else F.lit(None).cast("double")
 
 
+def _long(v) -> Column:
+    """The exact value of a long; null of anything else."""
+    return v[3] if v[0] == "num" and len(v) > 3 else terms.whole(v[1]) if v[0] == "term" else F.lit(None).cast("long")
+
+
 def _is_double(v) -> Column:
     return v[2] if v[0] == "num" else v[1].endswith("^^Double") if v[0] == "term" else F.lit(True)
 
@@ -457,24 +465,54 @@ def _bool(v) -> Column:
     return F.when(n.isNotNull(), (n != 0) & ~F.isnan(n)).when(v[1].endswith("^^String"), (F.length(text) > 0) & (text != "false"))
 
 
+#: Accessors and the predicate whose bounds they read of a node.
+ACCESSORS = {"BOUNDS_AREA": "bounds", "BOUNDS_CENTER": "bounds", "SEGMENT_CENTER": "segmentBounds", "SEGMENT_AREA": "segmentDefinition", "WIDTH": "bounds", "HEIGHT": "bounds", "DEPTH": "bounds", "DURATION": "bounds", "XYZT": "bounds"}
+#: Own functions by name in capitals: each takes expression values and gives one. CLIP_TEXT is one if an embedder is set.
+FUNCTIONS: dict = {}
+
+
+def register_function(name: str, make) -> None:
+    """Adds a function of queries: make(*columns of texts) gives a column of texts."""
+    FUNCTIONS[name.upper()] = lambda *v: ("str", make(*[_str(x) for x in v]))
+
+
+def set_text_embedder(embed) -> None:
+    """Makes CLIP_TEXT(text) give the comma-joined vector of embed(list of texts), called on Arrow batches; an empty text where
+    it fails. Each batch asks for each of its distinct texts once."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        own = [t for t in dict.fromkeys(x) if t is not None]
+        try:
+            known = {t: ",".join(map(repr, map(float, v))) for t, v in zip(own, embed(own))}
+        except Exception:  # noqa: BLE001 - a service that is down gives empty texts
+            known = {}
+        return x.map(lambda t: None if t is None else known.get(t, ""))
+
+    register_function("CLIP_TEXT", run)
+
+
 class Compiler:
     def __init__(self, quads: DataFrame):
-        self.quads = quads.select("s", "p", "o")
+        self.quads = quads.select("s", "p", "o", *[c for c in quads.columns if c == BUCKET])
 
     # patterns: frame and the variables that may be unbound
     def group(self, g: Group) -> tuple[DataFrame, set[str]]:
         df, maybe = None, set()
         filters: list = []
-        triples = [p for p in g.parts if p[0] == "triple"]
-        done = False
-        for part in g.parts:
+        run: list = []
+        # filters hold for the whole group; a run of triples between other patterns is joined most selective first
+        for part in [*sorted(g.parts, key=lambda p: p[0] in ("filter", "exists")), ("end",)]:
             kind = part[0]
             if kind == "triple":
-                if not done:  # all triples of the group together, most selective first, each next one connected
-                    done = True
-                    for t in self.ordered(triples, set(df.columns) if df is not None else set()):
-                        df, maybe = self.join(df, maybe, self.pattern(*t[1:]), set())
-            elif kind == "filter":
+                run.append(part)
+                continue
+            for t in self.ordered(run, set(df.columns) if df is not None else set()):
+                df, maybe = self.join(df, maybe, self.pattern(*t[1:]), set())
+            run = []
+            if kind == "end":
+                break
+            if kind == "filter":
                 filters.append(part[1])
             elif kind == "exists":
                 filters.append(part)
@@ -483,8 +521,8 @@ class Compiler:
             elif kind == "minus":
                 df = self.minus(df, maybe, *self.group(part[1]))
             elif kind == "bind":
-                df = self.unit() if df is None else df
-                df = df.withColumn(part[1], _term(self.value(part[2], df)))
+                e, df = self.with_bounds(part[2], self.unit() if df is None else df)
+                df = df.withColumn(part[1], _term(self.value(e, df)))
                 maybe = maybe | {part[1]}
             elif kind == "values":
                 df, maybe = self.join(df, maybe, *self.inline(part[1], part[2]))
@@ -502,8 +540,12 @@ class Compiler:
                 df, maybe = self.join(df, maybe, both, unbound)
         df = self.unit() if df is None else df
         for f in filters:
-            df = self.exists(df, maybe, f[1], f[2]) if f[0] == "exists" else df.where(F.coalesce(_bool(self.value(f, df)), F.lit(False)))
-        return df, maybe
+            if f[0] == "exists":
+                df = self.exists(df, maybe, f[1], f[2])
+                continue
+            f, df = self.with_bounds(f, df)
+            df = df.where(F.coalesce(_bool(self.value(f, df)), F.lit(False)))
+        return df.drop(*[c for c in df.columns if c.startswith(tuple(f"__{b}_" for b in set(ACCESSORS.values())))]), maybe
 
     def unit(self) -> DataFrame:
         return self.quads.sparkSession.range(1).select()
@@ -526,7 +568,7 @@ class Compiler:
 
     def pattern(self, s, p, o) -> DataFrame:
         if p[0] == "var":
-            df, names = self.quads, {"s": s, "p": p, "o": o}
+            df, names = self.quads.select("s", "p", "o"), {"s": s, "p": p, "o": o}
         else:
             df, names = self.edges(p, s, o), {"s": s, "o": o}
         seen: dict[str, str] = {}
@@ -543,8 +585,9 @@ class Compiler:
         """(s, o) of a predicate or path."""
         kind = p[0]
         if kind == "const":
-            virtual = relations.expand(self.quads, p[1])
-            return virtual if virtual is not None else self.quads.where(F.col("p") == p[1]).select("s", "o")
+            ends = [x[1] if x[0] == "const" else None for x in (s, o)]
+            virtual = relations.expand(self.quads, p[1], *ends)
+            return virtual if virtual is not None else of_predicates(self.quads, [p[1]]).select("s", "o")
         if kind == "inv":
             return self.edges(p[1], o, s).select(F.col("o").alias("s"), F.col("s").alias("o"))
         if kind == "alt":
@@ -646,6 +689,30 @@ class Compiler:
         return df, {n for i, n in enumerate(names) if any(r[i] is None for r in rows)}
 
     # expressions
+    def with_bounds(self, e, df: DataFrame) -> tuple[object, DataFrame]:
+        """The expression with each accessor of a node's bounds reading a column joined to the frame: the accessor of a node
+        takes the bounds that are stored for it, that of a text the text itself."""
+        if not isinstance(e, tuple):
+            return e, df
+        if e and e[0] == "call" and e[1] in ACCESSORS and len(e[2]) == 1 and e[2][0][0] == "var" and e[2][0][1] in df.columns:
+            n, made = e[2][0][1], f"__{ACCESSORS[e[1]]}_{e[2][0][1]}"
+            if made not in df.columns:
+                held = of_predicates(self.quads, [f"<{relations.SCHEMA}{ACCESSORS[e[1]]}>"]).groupBy(F.col("s").alias(n)).agg(F.min("o").alias(made))
+                df = df.join(held, n, "left").withColumn(made, F.when(terms.is_iri(F.col(n)), F.col(made)).otherwise(F.col(n)))
+            return ("call", e[1], [("var", made)]), df
+        out = []
+        for x in e:
+            if isinstance(x, list):
+                made = []
+                for y in x:
+                    y, df = self.with_bounds(y, df)
+                    made.append(y)
+                x = made
+            else:
+                x, df = self.with_bounds(x, df)
+            out.append(x)
+        return tuple(out), df
+
     def value(self, e, df: DataFrame | None, names: list[str] | None = None):
         names = names if names is not None else df.columns
         sub = lambda x: self.value(x, df, names)
@@ -655,7 +722,7 @@ class Compiler:
                 return "term", F.col(f"`{e[1]}`")
             return "term", (F.col(f"__r_{e[1]}") if f"__r_{e[1]}" in names else F.lit(None).cast("string"))
         if kind == "const":
-            return "term", F.lit(e[1])
+            return "term", F.lit(e[1]), e[1]
         if kind in ("and", "or"):
             a, b = _bool(sub(e[1])), _bool(sub(e[2]))
             return "bool", (a & b if kind == "and" else a | b)
@@ -673,17 +740,22 @@ class Compiler:
             x, y = _num(a), _num(b)
             if e[1] == "/":
                 return "num", F.try_divide(x, y), F.lit(True)
-            return "num", {"+": x + y, "-": x - y, "*": x * y}[e[1]], _is_double(a) | _is_double(b)
+            exact = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e[1]](_long(a), _long(b))
+            return "num", {"+": x + y, "-": x - y, "*": x * y}[e[1]], _is_double(a) | _is_double(b), exact
         if kind == "agg":
             raise ValueError("an aggregate stands outside of SELECT, HAVING or ORDER BY")
         return self.call(e[1], e[2], sub, names)
 
     @staticmethod
     def compare(op: str, a, b) -> Column:
+        plain = [len(v) > 2 and v[0] == "term" and not v[2].endswith(("^^Long", "^^Double")) for v in (a, b)]
         if "bool" in (a[0], b[0]):
             x, y = _bool(a), _bool(b)
+        elif a[0] == b[0] == "term" and any(plain) and op in ("=", "!="):  # equal terms have equal keys: may reach the scan
+            x, y = a[1], b[1]
         elif "num" in (a[0], b[0]):
-            x, y = _num(a), _num(b)
+            f = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[op]
+            return F.coalesce(f(_long(a), _long(b)), f(_num(a), _num(b)))
         elif "str" in (a[0], b[0]):
             x, y = _str(a), _str(b)
         else:
@@ -691,12 +763,13 @@ class Compiler:
             both = na.isNotNull() & nb.isNotNull()
             alike = F.when((terms.kind(a[1]) == terms.kind(b[1])) & ~terms.is_numeric(a[1]), True)
             x, y = terms.lexical(a[1]), terms.lexical(b[1])
+            la, lb = terms.whole(a[1]), terms.whole(b[1])
             if op == "=":
-                return F.when(both, na == nb).otherwise(a[1] == b[1])
+                return F.when(both, F.coalesce(la == lb, na == nb)).otherwise(a[1] == b[1])
             if op == "!=":
-                return F.when(both, na != nb).otherwise(a[1] != b[1])
+                return F.when(both, F.coalesce(la != lb, na != nb)).otherwise(a[1] != b[1])
             f = {"<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[op]
-            return F.when(both, f(na, nb)).when(alike, f(x, y))
+            return F.when(both, F.coalesce(f(la, lb), f(na, nb))).when(alike, f(x, y))
         return {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
     def call(self, name: str, args: list, sub, names):
@@ -710,18 +783,19 @@ class Compiler:
         v = [sub(x) for x in args]
         s = lambda i: _str(v[i])
         n = lambda i: _num(v[i])
+        stamp = lambda: s(0).try_cast("timestamp")
+        box = lambda: bounds.parse(s(0))
         text = {
-            "STR": lambda: s(0), "UCASE": lambda: F.upper(s(0)), "LCASE": lambda: F.lower(s(0)), "CONCAT": lambda: F.concat(*[s(i) for i in range(len(v))]), "STRBEFORE": lambda: F.when(s(0).contains(s(1)), F.substring_index(s(0), args[1][1].rsplit("^^", 1)[0], 1)).otherwise(""),
+            "STR": lambda: s(0), "UCASE": lambda: F.upper(s(0)), "LCASE": lambda: F.lower(s(0)), "CONCAT": lambda: F.concat(*[s(i) for i in range(len(v))]), "STRBEFORE": lambda: F.when(s(0).contains(s(1)), F.substring(s(0), F.lit(1), F.instr(s(0), s(1)) - 1)).when(s(0).isNotNull() & s(1).isNotNull(), ""),
             "SUBSTR": lambda: F.substring(s(0), n(1).cast("int"), n(2).cast("int")) if len(v) > 2 else F.substring(s(0), n(1).cast("int"), F.lit(2**31 - 1)),
-            "REPLACE": lambda: F.regexp_replace(s(0), s(1), s(2)), "ENCODE_FOR_URI": lambda: F.replace(F.url_encode(s(0)), F.lit("+"), F.lit("%20")), "LANG": lambda: F.when(s(0).isNotNull(), ""), "MD5": lambda: F.md5(s(0)), "SHA1": lambda: F.sha1(s(0)),
-            "SHA256": lambda: F.sha2(s(0), 256), "SHA384": lambda: F.sha2(s(0), 384), "SHA512": lambda: F.sha2(s(0), 512), "STRUUID": lambda: F.uuid(), "TZ": lambda: F.lit("Z"), "BOUNDS_CENTER": lambda: bounds.center(bounds.parse(s(0))), "SEGMENT_CENTER": lambda: bounds.center(bounds.parse(s(0))),
+            "REPLACE": lambda: F.regexp_replace(s(0), F.concat(self.flags(s(3)), s(1)) if len(v) > 3 else s(1), s(2)), "ENCODE_FOR_URI": lambda: F.replace(F.url_encode(s(0)), F.lit("+"), F.lit("%20")), "LANG": lambda: F.when(s(0).isNotNull(), ""), "MD5": lambda: F.md5(s(0)), "SHA1": lambda: F.sha1(s(0)),
+            "SHA256": lambda: F.sha2(s(0), 256), "SHA384": lambda: F.sha2(s(0), 384), "SHA512": lambda: F.sha2(s(0), 512), "STRUUID": lambda: F.uuid(), "TZ": lambda: F.when(stamp().isNotNull(), self.zone(s(0))), "BOUNDS_CENTER": lambda: bounds.center(box()), "SEGMENT_CENTER": lambda: bounds.center(box()),
             "XYZT": lambda: bounds.text(bounds.parse(s(0))),
         }
         if name == "STRAFTER":
-            return "str", F.when(s(0).contains(s(1)), F.substring(s(0), F.instr(s(0), s(1)) + F.length(s(1)), F.lit(2**31 - 1))).otherwise("")
+            return "str", F.when(s(0).contains(s(1)), F.substring(s(0), F.instr(s(0), s(1)) + F.length(s(1)), F.lit(2**31 - 1))).when(s(0).isNotNull() & s(1).isNotNull(), "")
         if name in text:
             return "str", text[name]()
-        stamp = lambda: s(0).try_cast("timestamp")
         number = {
             "STRLEN": (lambda: F.length(s(0)), False), "ABS": (lambda: F.abs(n(0)), None), "CEIL": (lambda: F.ceil(n(0)), None), "FLOOR": (lambda: F.floor(n(0)), None), "ROUND": (lambda: F.floor(n(0) + 0.5), None), "RAND": (lambda: F.rand(), True),
             "YEAR": (lambda: F.year(stamp()), False), "MONTH": (lambda: F.month(stamp()), False), "DAY": (lambda: F.dayofmonth(stamp()), False), "HOURS": (lambda: F.hour(stamp()), False), "MINUTES": (lambda: F.minute(stamp()), False), "SECONDS": (lambda: F.second(stamp()), False),
@@ -735,7 +809,7 @@ class Compiler:
         k = lambda: _term(v[0])
         test = {
             "CONTAINS": lambda: s(0).contains(s(1)), "STRSTARTS": lambda: s(0).startswith(s(1)), "STRENDS": lambda: s(0).endswith(s(1)), "ISIRI": lambda: terms.is_iri(k()), "ISURI": lambda: terms.is_iri(k()), "ISLITERAL": lambda: ~terms.is_iri(k()), "ISBLANK": lambda: F.lit(False), "ISNUMERIC": lambda: terms.is_numeric(k()),
-            "SAMETERM": lambda: k() == _term(v[1]), "LANGMATCHES": lambda: F.lower(s(0)) == F.lower(s(1)), "REGEX": lambda: F.rlike(s(0), F.concat(F.when(s(2).contains("i"), "(?i)").otherwise(""), s(1)) if len(v) > 2 else s(1)),
+            "SAMETERM": lambda: k() == _term(v[1]), "LANGMATCHES": lambda: F.lower(s(0)) == F.lower(s(1)), "REGEX": lambda: F.rlike(s(0), F.concat(self.flags(s(2)), s(1)) if len(v) > 2 else s(1)),
         }
         if name in test:
             return "bool", test[name]()
@@ -751,8 +825,36 @@ class Compiler:
             return "term", terms.iri(F.concat(F.lit("urn:uuid:"), F.uuid()))
         if name == "DATATYPE":
             return "term", terms.iri(F.concat(F.lit(XSD), F.lower(terms.kind(k()))))
+        if name == "STRDT":
+            kinds = F.lower(F.regexp_extract(s(1), r"([^#/]*)$", 1))
+            whole, real = s(0).try_cast("long"), s(0).try_cast("double")
+            return "term", F.when(kinds.isin("integer", "long", "int", "short", "byte"), terms.long(whole)).when(kinds.isin("double", "float", "decimal"), terms.double(real)).when(kinds.isin("datetime", "date"), terms.temporal(stamp())).otherwise(terms.string(s(0)))
+        if name == "STRLANG":
+            return "str", s(0)
+        if name == "BNODE":
+            return "term", terms.iri(F.concat(F.lit("urn:bnode:"), F.sha1(s(0)) if v else F.uuid()))
+        if name == "BOOLEAN":
+            return "bool", F.when(s(0).isin("true", "1"), True).when(s(0).isin("false", "0"), False)
+        if name == "TIMEZONE":
+            zone = self.zone(s(0))
+            hours, minutes = F.regexp_extract(zone, r"(\d\d):", 1).try_cast("int"), F.regexp_extract(zone, r":(\d\d)", 1).try_cast("int")
+            part = F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+            return "str", F.when(zone == "Z", "PT0S").when(zone != "", F.when(part.endswith("PT"), "PT0S").otherwise(part))
+        if name in FUNCTIONS:
+            return FUNCTIONS[name](*v)
         raise ValueError(f"unknown function {name}")
 
+    @staticmethod
+    def flags(text: Column) -> Column:
+        """The flags i, m, s and x of a pattern, ahead of it; q isn't known."""
+        own = F.regexp_replace(text, "[^imsx]", "")
+        return F.when(own != "", F.concat(F.lit("(?"), own, F.lit(")"))).otherwise("")
+
+    @staticmethod
+    def zone(text: Column) -> Column:
+        """The zone that a time is written with: Z, an offset, or nothing."""
+        return F.regexp_extract(text, r"T.*?(Z|[+-]\d\d:\d\d)$", 1)
+
     # aggregation and solution modifiers
     def select(self, q: Select) -> tuple[DataFrame, set[str]]:
         df, maybe = self.group(q.where)
@@ -783,6 +885,7 @@ class Compiler:
                 df = df.where(F.coalesce(_bool(self.value(e, df)), F.lit(False)))
         for n, e in items or []:
             if e is not None:
+                e, df = self.with_bounds(e, df)
                 df = df.withColumn(n, _term(self.value(e, df)))
                 maybe = maybe | {n}
         names = [n for n in df.columns if not n.startswith("__")] if items is None else [n for n, _ in items]
@@ -794,7 +897,7 @@ class Compiler:
         for e, down in order:
             k = _term(self.value(e, df))
             rank = F.when(k.isNull(), 0).when(terms.is_iri(k), 1).otherwise(2)
-            for c in (rank, terms.number(k), terms.lexical(k)):
+            for c in (rank, terms.number(k), terms.whole(k), terms.lexical(k)):
                 keys.append(c.desc_nulls_last() if down else c.asc_nulls_first())
         if q.distinct:
             # sort keys that aren't selected have no meaning after DISTINCT
@@ -816,12 +919,16 @@ class Compiler:
         if name == "COUNT":
             return terms.long(F.count_distinct(k) if distinct else F.count(k))
         if name == "SUM":
-            total = F.coalesce(F.sum_distinct(n) if distinct else F.sum(n), F.lit(0.0))
-            return F.when(F.coalesce(F.max(_is_double(v)), F.lit(False)), terms.double(total)).otherwise(terms.long(total))
+            add = F.sum_distinct if distinct else F.sum
+            exact = F.coalesce(add(_long(v).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+            double = F.coalesce(F.bool_or(_is_double(v) & n.isNotNull()), F.lit(False))
+            return F.when(double, terms.double(F.coalesce(add(n), F.lit(0.0)))).otherwise(F.concat(exact.cast("string"), F.lit("^^Long")))
         if name == "AVG":
-            return terms.double(F.coalesce(F.avg(n) if not distinct else F.try_divide(F.sum_distinct(n), F.count_distinct(n)), F.lit(0.0)))
+            add, count = (F.sum_distinct, F.count_distinct) if distinct else (F.sum, F.count)
+            exact = F.when(F.count(_long(v)) == F.count(n), add(_long(v).cast("decimal(20,0)")).cast("double"))
+            return terms.double(F.coalesce(F.try_divide(F.coalesce(exact, add(n)), count(n)), F.lit(0.0)))
         if name in ("MIN", "MAX"):
-            by = F.struct(F.when(n.isNotNull(), 1).otherwise(0), F.coalesce(n, F.lit(0.0)), terms.lexical(k))
+            by = F.struct(F.when(n.isNotNull(), 1).otherwise(0), F.coalesce(n, F.lit(0.0)), F.coalesce(_long(v), F.lit(0)), terms.lexical(k))
             return F.min_by(k, F.when(k.isNotNull(), by)) if name == "MIN" else F.max_by(k, F.when(k.isNotNull(), by))
         if name == "SAMPLE":
             return F.any_value(k, True)
@@ -839,6 +946,20 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[terms.lexical(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def json_result(df: DataFrame) -> str:
+    """The whole result in the W3C form: head with the variables, results with the bindings. For results that fit the driver."""
+    rows = json_rows(df).toLocalIterator()
+    return json.dumps({"head": {"vars": df.columns}, "results": {"bindings": [json.loads(r.binding) for r in rows]}})
+
+
+def table(df: DataFrame, rows: int = 20) -> str:
+    """The first rows of a result, laid out for reading."""
+    head = [tuple("" if v is None else str(v) for v in r) for r in plain(df).limit(rows).collect()]
+    widths = [max([len(c), *(len(r[i]) for r in head)]) for i, c in enumerate(df.columns)]
+    line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
+    return "\n".join([line(df.columns), "-+-".join("-" * w for w in widths), *map(line, head)])
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Solutions as result bindings: one JSON object of {type, value, datatype} per row."""
     types = F.create_map(*[F.lit(x) for kv in (("Long", "long"), ("Double", "double"), ("String", "string"), ("Temporal", "dateTime")) for x in kv])

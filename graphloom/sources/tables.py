@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
-from graphloom.operators.relations import BASE, EMBEDDING, SEGMENT_BOUNDS, SEGMENT_OF
+from graphloom.operators.relations import BASE, BOUNDS, EMBEDDING, SEGMENT_BOUNDS, SEGMENT_OF
 
 EX = BASE + "t/"
 
@@ -48,16 +48,32 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as rectangles: twenty consecutive keys share a parent; place and size follow from the key."""
+    """Parts as rectangles: twenty consecutive keys share a parent; place and size follow from the key. A third of them is
+    large, and the last of a parent lies where the one before does."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
-    x, y = (k * 7 % 50).cast("double"), (k * 13 % 40).cast("double")
-    box = F.concat_ws(",", x, x + k % 9 + 1, y, y + k % 5 + 1, F.lit("-"), F.lit("-"), F.lit("-"), F.lit("-"))
+    j = k - (k % 20 == 19).cast("long")
+    big = j % 3 == 0
+    x, y = (j * 7 % 50).cast("double"), (j * 13 % 40).cast("double")
+    box = F.concat_ws(",", x, x + (j % 9 + 1) * F.when(big, 4).otherwise(1), y, y + (j % 5 + 1) * F.when(big, 6).otherwise(1), F.lit("-"), F.lit("-"), F.lit("-"), F.lit("-"))
     s = node("part", k)
     parent = df.select(s.alias("s"), F.lit(SEGMENT_OF).alias("p"), node("sheet", F.floor(k / 20)).alias("o"))
     return parent.unionByName(df.select(s.alias("s"), F.lit(SEGMENT_BOUNDS).alias("p"), terms.string(box).alias("o")))
 
 
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as segments of their user's time, in days: one to four from the day of the event. As objects they last a day
+    longer."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("double")
+    span = lambda more: terms.string(F.concat(F.lit("-,-,-,-,-,-,"), day.cast("string"), F.lit(","), (day + F.col("event_id") % 4 + more).cast("string")))
+    s = node("event", "event_id")
+    facts = F.array(
+        F.struct(F.lit(SEGMENT_OF).alias("p"), node("user", "user_id").alias("o")), F.struct(F.lit(SEGMENT_BOUNDS).alias("p"), span(1).alias("o")), F.struct(F.lit(BOUNDS).alias("p"), span(2).alias("o"))
+    )
+    return e.select(s.alias("s"), F.explode(facts).alias("e")).select("s", "e.p", "e.o")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chains: each turn has a next one."""
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct()
