@@ -60,7 +60,7 @@ class _Chunks(dict):
         text, number, found = chunk.decode().lower(), self.terms.get, []
         for w in (text,) if text.isalpha() else _word.findall(text):
             if len(w) > BEGINNINGS[0]:  # every text that has the word has its shortest beginning: without that it's no term
-                if (t := number(f"{w[: BEGINNINGS[0]]}~")) is None:
+                if (t := number(w[: BEGINNINGS[0]] + "~")) is None:
                     continue
                 found.append(t)
                 for n in BEGINNINGS[1:]:
@@ -68,7 +68,7 @@ class _Chunks(dict):
                         found.append(t)
             if (t := number(w)) is not None:
                 found.append(t)
-        made = self[chunk] = tuple(found)
+        made = self[chunk] = tuple(found) if found else ()
         return made
 
 
@@ -160,7 +160,7 @@ class Index:
         self.most = self.dense.max(axis=2).T.copy() if n else np.zeros((len(common), 0), np.float32)
         rare = np.flatnonzero(c < 0)
         rare = rare[np.lexsort((place[row[rare]], terms[rare]))]
-        self.at, self.impact = place[row[rare]].astype(np.int32), weights[rare].astype(np.float32)
+        self.at, self.impact = place[row[rare]], weights[rare].astype(np.float32).astype(np.float64)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms[rare], minlength=size))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +181,10 @@ class Index:
                 break
             own = self.dense[b].take(often, axis=0)
             made = sums[b] + q @ own
+            made[max(0, self.size - b * BLOCK) :] = 0
             i = np.flatnonzero((made > 0) & (made >= least - 1e-5))
-            i = i[i + b * BLOCK < self.size]
+            if len(i) > 2 * k:  # the block's own k-th best bounds what can be among the best
+                i = i[made[i] >= np.partition(made[i], len(i) - k)[len(i) - k] - 2e-5]
             if not len(i):
                 continue
             exact = sums[b, i] + w @ own[:, i].astype(np.float64)
