@@ -33,8 +33,8 @@ SAMPLE = 4_096
 LEAST_EXAMPLES = 2
 #: A term whose frequency in toxic examples exceeds its overall rate by z > PLAIN_Z standard deviations weighs 1 + z - PLAIN_Z times as much.
 PLAIN_Z = 4.0
-#: Neighbours that vote; examples of a block; share of the examples from which a term is common.
-NEIGHBOURS, BLOCK, COMMON, FOLDS = 24, 256, 1 / 16, 5
+#: Neighbours that vote; examples of a block; blocks that are searched first; share of the examples from which a term is common.
+NEIGHBOURS, BLOCK, FIRST, COMMON, FOLDS = 24, 256, 4, 1 / 16, 5
 BEGINNINGS = (5,)
 _word = regex.compile(r"\p{L}+")
 
@@ -100,6 +100,12 @@ class Model:
         found = np.fromiter(chain.from_iterable(map(self._chunks.__getitem__, text.split())), np.int32)
         return np.unique(found, return_counts=True)
 
+    def held(self, text: bytes) -> np.ndarray:
+        """The terms of a whole text, each once."""
+        if not self._chunks:
+            self._chunks = _Chunks(self.terms)
+        return np.array(list(set(chain.from_iterable(map(self._chunks.__getitem__, set(text.split()))))), np.int64)
+
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The unit TF-IDF vector of a whole text; empty where it has none of the terms."""
         t, n = self.counts(text)
@@ -155,9 +161,8 @@ class Index:
         place[self.order] = np.arange(n)
         dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         dense[place[row[c >= 0]], c[c >= 0]] = weights[c >= 0]
-        # by block, then term, then example: what a query reads of a block lies together
-        self.dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, len(common)).transpose(0, 2, 1))
-        self.most = self.dense.max(axis=2).T.copy() if n else np.zeros((len(common), 0), np.float32)
+        self.dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, len(common)).transpose(2, 0, 1))
+        self.most = self.dense.max(axis=2) if n else np.zeros((len(common), 0), np.float32)
         rare = np.flatnonzero(c < 0)
         rare = rare[np.lexsort((place[row[rare]], terms[rare]))]
         self.at, self.impact = place[row[rare]], weights[rare].astype(np.float32).astype(np.float64)
@@ -174,25 +179,26 @@ class Index:
         w = weights[~rare]
         q = w.astype(np.float32)
         bounds = sums.max(axis=1) + (q @ self.most[often]) * (1 + 1e-5)
-        # single precision chooses with a margin what double precision then compares
+        # the blocks of the largest bounds first; then together all whose bound reaches the k-th best of those; single
+        # precision chooses with a margin what double precision then compares
         best, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < least - 1e-6:
+        todo = np.argsort(-bounds, kind="stable")
+        for own in (todo[:FIRST], todo[FIRST:]):
+            own = own[(bounds[own] > 0) & (bounds[own] >= least - 1e-6)]
+            if not len(own):
                 break
-            own = self.dense[b].take(often, axis=0)
-            made = sums[b] + q @ own
-            made[max(0, self.size - b * BLOCK) :] = 0
+            part = self.dense[often[:, None], own].reshape(len(often), len(own) * BLOCK)
+            base, place = sums[own].ravel(), (own[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            made = base + q @ part
+            made[place >= self.size] = 0
             i = np.flatnonzero((made > 0) & (made >= least - 1e-5))
-            if len(i) > 2 * k:  # the block's own k-th best bounds what can be among the best
+            if len(i) > 2 * k:
                 i = i[made[i] >= np.partition(made[i], len(i) - k)[len(i) - k] - 2e-5]
-            if not len(i):
-                continue
-            exact = sums[b, i] + w @ own[:, i].astype(np.float64)
-            best, score = np.concatenate([best, self.order[i + b * BLOCK]]), np.concatenate([score, exact])
+            best, score = np.concatenate([best, self.order[place[i]]]), np.concatenate([score, base[i] + w @ part[:, i].astype(np.float64)])
             if len(best) > k:
                 top = np.lexsort((best, -score))[:k]
                 best, score = best[top], score[top]
-                least = score[-1]
+            least = score.min() if len(best) >= k else 0.0
         top = np.lexsort((best, -score))[:k]
         return best[top], score[top]
 
@@ -233,7 +239,7 @@ def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.
         for b in batches:
             df[-1] += b.num_rows
             for x in raw_texts(b, "text"):
-                df[m.counts(x)[0]] += 1
+                df[m.held(x)] += 1
         t = np.flatnonzero(df)
         for i in range(0, len(t), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000]), pa.array(df[t[i : i + 100_000]])], names=["term", "n"])
