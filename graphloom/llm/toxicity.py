@@ -3,10 +3,9 @@
 The examples are a bounded sample of labelled rows outside the held-out fold, each with its own label and id. Terms are
 all words and word beginnings that two examples or more hold; their document frequencies are counted over all documents,
 and what the sample's labels mark as typical of toxic texts weighs more (supervised TF-IDF; every term keeps at least its
-plain weight). Each worker holds the examples as an inverted index: postings of the rarer terms are added up whole, those
-of common terms come in blocks of examples with their largest impact, and blocks are searched in the order of their bound
-until none can beat the k-th best, so the neighbours are exact. Distance-weighted votes are calibrated on the examples
-themselves, each left out of its own vote.
+plain weight). Each worker holds the examples as an inverted index: postings of the rarer terms are added up text by text,
+common terms are multiplied for many texts at once, always with all examples, so the neighbours are exact. Distance-weighted
+votes are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import CACHE_WORDS, checkpointed, claim, mapped, raw_texts
+from graphloom.llm.common import checkpointed, claim, mapped, raw_texts
+from graphloom.llm.tokens import groups
 
 #: Labelled rows at most that are learned from: those of the smallest hash of the id.
 SAMPLE = 4_096
@@ -33,9 +34,11 @@ SAMPLE = 4_096
 LEAST_EXAMPLES = 2
 #: A term whose frequency in toxic examples exceeds its overall rate by z > PLAIN_Z standard deviations weighs 1 + z - PLAIN_Z times as much.
 PLAIN_Z = 4.0
-#: Neighbours that vote; examples of a block; blocks that are searched first; share of the examples from which a term is common.
-NEIGHBOURS, BLOCK, FIRST, COMMON, FOLDS = 24, 256, 4, 1 / 16, 5
+#: Neighbours that vote; texts that are compared at once; share of the examples from which a term is common.
+NEIGHBOURS, TOGETHER, COMMON, FOLDS = 24, 64, 1 / 16, 5
 BEGINNINGS = (5,)
+#: Letters of a word that is looked up by its hash; bytes of texts whose words are looked up at once.
+LONGEST, GROUP_BYTES = 32, 1 << 18
 _word = regex.compile(r"\p{L}+")
 
 
@@ -48,28 +51,105 @@ def terms_of(chunk: bytes) -> list[str]:
     return out
 
 
-class _Chunks(dict):
-    """Term numbers of each chunk, filled on demand, started anew when large."""
+@cache
+def _letters() -> np.ndarray:
+    """Which code points _word takes."""
+    table = np.zeros(0x110000, bool)
+    for w in _word.finditer("".join(map(chr, range(len(table))))):
+        table[w.start() : w.end()] = True
+    return table
+
+
+class _Words:
+    """Term numbers of all words of many texts at once.
+
+    A word's hash is the sum of its letters' random 64-bit numbers times powers of an odd number, read off running sums over
+    the texts; a word beginning has the same sum of its letters and another salt. Terms have different hashes (else they are
+    drawn again); a word that is no term is taken for one with a chance of about 1e-14. Words of more than LONGEST letters
+    are looked up as they stand.
+    """
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
-
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        text, number, found = chunk.decode().lower(), self.terms.get, []
-        for w in (text,) if text.isalpha() else _word.findall(text):
-            if len(w) > BEGINNINGS[0]:  # every text that has the word has its shortest beginning: without that it's no term
-                if (t := number(w[: BEGINNINGS[0]] + "~")) is None:
-                    continue
-                found.append(t)
-                for n in BEGINNINGS[1:]:
-                    if len(w) > n and (t := number(f"{w[:n]}~")) is not None:
-                        found.append(t)
-            if (t := number(w)) is not None:
-                found.append(t)
-        made = self[chunk] = tuple(found) if found else ()
-        return made
+        self.power = self.inverse = np.ones(1, np.uint64)
+        rng, short = np.random.default_rng(7), [t for t in terms if len(t) <= LONGEST]
+        number = np.fromiter(map(terms.__getitem__, short), np.int32, len(short))
+        begins = np.fromiter((t[-1] == "~" for t in short), bool, len(short))
+        texts = [t.rstrip("~") for t in short]
+        bits = max(10, (4 * len(short)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        while True:
+            self.value = np.where(_letters(), rng.integers(1, 1 << 63, len(_letters()), np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
+            self.salt = rng.integers(1, 1 << 63, max(LONGEST, *BEGINNINGS) + 2, np.uint64)
+            _, starts, ends, sums = self._words(texts)
+            length = ends - starts
+            h = np.where(begins, self._hash(sums, starts, ends, 0), self._hash(sums, starts, ends, length))
+            if len(np.unique(h)) == len(h):
+                break
+        self.keys, self.numbers = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        at = self._slot(h)
+        while len(h):  # linear probing, one step of all that have no slot yet at a time
+            free = np.flatnonzero(self.numbers[at] < 0)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[own]], self.numbers[at[own]] = h[own], number[own]
+            rest = np.ones(len(h), bool)
+            rest[own] = False
+            h, number, at = h[rest], number[rest], (at[rest] + 1) & self.mask
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The code points of lower-cased texts, each after a line end; where words start and end; the running sums."""
+        points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), "<u4")
+        if len(points) > len(self.power):
+            n, odd = 1 << len(points).bit_length(), 0x9E3779B97F4A7C15
+            step = np.ones((2, n), np.uint64)
+            step[0, 1:], step[1, 1:] = odd, pow(odd, -1, 1 << 64)
+            self.power, self.inverse = np.cumprod(step, axis=1, dtype=np.uint64)
+        values = self.value[points]
+        letter = values != 0
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        return points, edges[::2], edges[1::2], np.cumsum(values * self.power[: len(points)], dtype=np.uint64)
+
+    def _hash(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+        return (sums[ends - 1] - sums[starts - 1]) * self.inverse[starts] + self.salt[salt]
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def _numbers(self, h: np.ndarray) -> np.ndarray:
+        """The term number of each hash, -1 where it has none."""
+        at = self._slot(h)
+        out, same = self.numbers[at], self.keys[at] == h
+        todo = np.flatnonzero(~same & (out >= 0))
+        out[~same] = -1
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            found, same = self.numbers[at], self.keys[at] == h[todo]
+            out[todo[same & (found >= 0)]] = found[same & (found >= 0)]
+            more = ~same & (found >= 0)
+            todo, at = todo[more], at[more]
+        return out
+
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts, one after another: where the terms of each start (and the last end), the terms of each, ascending,
+        and how often it has them."""
+        lower = [x.decode().lower() for x in texts]
+        points, starts, ends, sums = self._words(lower)
+        text = np.repeat(np.arange(len(lower)), np.diff(np.searchsorted(starts, np.cumsum([1, *(len(x) + 1 for x in lower)]))))
+        length = ends - starts
+        t = self._numbers(self._hash(sums, starts, ends, np.minimum(length, LONGEST + 1)))
+        for i in np.flatnonzero(length > LONGEST).tolist():
+            t[i] = self.terms.get(points[starts[i] : ends[i]].tobytes().decode("utf-32-le"), -1)
+        size = max(1, len(self.terms))
+        found = [text[t >= 0] * size + t[t >= 0]]
+        for n in BEGINNINGS:
+            long = np.flatnonzero(length > n)
+            t = self._numbers(self._hash(sums, starts[long], starts[long] + n, 0))
+            found.append(text[long[t >= 0]] * size + t[t >= 0])
+        keys = np.concatenate(found)
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return np.searchsorted(keys[first], np.arange(len(lower) + 1) * size), keys[first] % size, np.diff(first, append=len(keys))
 
 
 @dataclass
@@ -83,124 +163,112 @@ class Model:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     base: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    _chunks: dict = field(default_factory=dict)
+    _words: _Words | None = None
     _known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_chunks": {}, "_known": {}}
+        return self.__dict__ | {"_words": None, "_known": {}}
 
     def forget(self) -> None:
         """Clears the caches."""
-        self._chunks, self._known = {}, {}
-
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a whole text, ascending, and how often it has each."""
-        if not self._chunks:
-            self._chunks = _Chunks(self.terms)
-        found = np.fromiter(chain.from_iterable(map(self._chunks.__getitem__, text.split())), np.int32)
-        return np.unique(found, return_counts=True)
-
-    def held(self, text: bytes) -> np.ndarray:
-        """The terms of a whole text, each once."""
-        if not self._chunks:
-            self._chunks = _Chunks(self.terms)
-        return np.array(list(set(chain.from_iterable(map(self._chunks.__getitem__, set(text.split()))))), np.int64)
-
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of a whole text; empty where it has none of the terms."""
-        t, n = self.counts(text)
-        w = (1 + np.log(n)) * self.weight[t]
-        return t, w / np.sqrt(w @ w) if len(t) else w
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of toxic among the nearest examples, weighted by closeness, and those examples with their cosines.
-        `but` is the id of an example that has no vote."""
-        near, cosine = self.index.nearest(terms, weights, NEIGHBOURS + (but is not None)) if self.index else (np.zeros(0, np.int64), np.zeros(0))
-        if but is not None:
-            other = self.ids[near] != but
-            near, cosine = near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]
-        if not len(near):
-            return self.base, near, cosine
-        closeness = 1 / (1.05 - cosine)
-        return float((closeness @ self.labels[near] + self.base) / (closeness.sum() + 1)), near, cosine
-
-    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score and evidence (example ids, cosines) of a text."""
-        t, w = self.vector(text)
-        if not len(t):
-            return self.base, np.zeros(0, np.int64), np.zeros(0)
-        key = xxhash.xxh3_128_digest(t.tobytes() + w.tobytes())
-        if key not in self._known:  # copies of a text come in large groups
-            if len(self._known) >= 4096:
-                self._known.clear()
-            v, near, cosine = self.vote(t, w)
+        self._words, self._known = None, {}
+
+    def counts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """_Words.counts of runs of whole texts."""
+        if self._words is None:
+            self._words = _Words(self.terms)
+        return map(self._words.counts, groups(texts, GROUP_BYTES))
+
+    def vectors(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The unit TF-IDF vector of each whole text; empty where it has none of the terms."""
+        for starts, terms, n in self.counts(texts):
+            weights = (1 + np.log(n)) * self.weight[terms]
+            for i, j in pairwise(starts.tolist()):
+                w = weights[i:j]
+                yield terms[i:j], w / np.sqrt(w @ w) if j > i else w
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each vector the share of toxic among the nearest examples, weighted by closeness, and those examples with
+        their cosines. `but` has for each vector the id of an example that has no vote."""
+        found = self.index.nearest_all(vectors, NEIGHBOURS + (but is not None)) if self.index else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        for i, (near, cosine) in enumerate(found):
+            if but is not None:
+                other = self.ids[near] != but[i]
+                near, cosine = near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]
+            closeness = 1 / (1.05 - cosine)
+            yield float((closeness @ self.labels[near] + self.base) / (closeness.sum() + 1)) if len(near) else self.base, near, cosine
+
+    def scores(self, texts: list[bytes]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated score and evidence (example ids, cosines) of each text."""
+        keys, fresh = [], {}
+        for t, w in self.vectors(texts):
+            keys.append(xxhash.xxh3_128_digest(t.tobytes() + w.tobytes()) if len(t) else b"")
+            if len(t) and keys[-1] not in self._known:  # copies of a text come in large groups
+                fresh[keys[-1]] = t, w
+        if len(self._known) + len(fresh) > 4096:
+            self._known = {k: self._known[k] for k in set(keys) & self._known.keys()}
+        for key, (v, near, cosine) in zip(fresh, self.votes(list(fresh.values()))):
             self._known[key] = (float(np.interp(v, *self.curve)), self.ids[near], cosine)
-        return self._known[key]
+        blank = self.base, np.zeros(0, np.int64), np.zeros(0)
+        return (self._known[k] if k else blank for k in keys)
 
 
 class Index:
-    """Postings by term. Those of rare terms are kept as positions and weights; of a common term every block of BLOCK
-    examples has its weights side by side and its largest one, the block's maximal impact."""
+    """Postings by term. Those of rare terms are kept as pairs of example and weight, 32 bits each; a common term has the
+    weights of all examples side by side."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int):
         """Examples as unit vectors: example i has terms[starts[i]:starts[i + 1]] and their weights; `size` terms in all."""
-        n = len(starts) - 1
-        self.size, self.blocks = n, -(-n // BLOCK)
-        row = np.repeat(np.arange(n), np.diff(starts))
+        self.size = n = len(starts) - 1
+        row, weights = np.repeat(np.arange(n), np.diff(starts)), weights.astype(np.float32)
         often = np.bincount(terms, minlength=size)
         common = np.flatnonzero(often > max(64, COMMON * n))
         self.common = np.full(size, -1, np.int32)
         self.common[common] = np.arange(len(common))
         c = self.common[terms]
-        # examples whose strongest common term is the same side by side (texts of one language, mostly), so that bounds are close
-        strongest = np.full(n, -1, np.int64)
-        best = np.lexsort((weights[c >= 0], row[c >= 0]))
-        strongest[row[c >= 0][best]] = c[c >= 0][best]
-        self.order = np.lexsort((np.arange(n), strongest))
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        dense[place[row[c >= 0]], c[c >= 0]] = weights[c >= 0]
-        self.dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, len(common)).transpose(2, 0, 1))
-        self.most = self.dense.max(axis=2) if n else np.zeros((len(common), 0), np.float32)
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[c[c >= 0], row[c >= 0]] = weights[c >= 0]
         rare = np.flatnonzero(c < 0)
-        rare = rare[np.lexsort((place[row[rare]], terms[rare]))]
-        self.at, self.impact = place[row[rare]], weights[rare].astype(np.float32).astype(np.float64)
+        rare = rare[np.lexsort((row[rare], terms[rare]))]
+        self.postings = np.column_stack([row[rare].astype(np.int32), weights[rare].view(np.int32)]).view(np.int64).ravel()
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms[rare], minlength=size))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine (ties: smaller number), exact, and those cosines."""
-        c = self.common[terms]
-        rare, often = c < 0, c[c >= 0]
-        first = self.starts[terms[rare]]
-        length = self.starts[terms[rare] + 1] - first
-        shift = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        sums = np.bincount(self.at[shift], self.impact[shift] * np.repeat(weights[rare], length), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        w = weights[~rare]
-        q = w.astype(np.float32)
-        bounds = sums.max(axis=1) + (q @ self.most[often]) * (1 + 1e-5)
-        # the blocks of the largest bounds first; then together all whose bound reaches the k-th best of those; single
-        # precision chooses with a margin what double precision then compares
-        best, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        todo = np.argsort(-bounds, kind="stable")
-        for own in (todo[:FIRST], todo[FIRST:]):
-            own = own[(bounds[own] > 0) & (bounds[own] >= least - 1e-6)]
-            if not len(own):
-                break
-            part = self.dense[often[:, None], own].reshape(len(often), len(own) * BLOCK)
-            base, place = sums[own].ravel(), (own[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            made = base + q @ part
-            made[place >= self.size] = 0
-            i = np.flatnonzero((made > 0) & (made >= least - 1e-5))
-            if len(i) > 2 * k:
-                i = i[made[i] >= np.partition(made[i], len(i) - k)[len(i) - k] - 2e-5]
-            best, score = np.concatenate([best, self.order[place[i]]]), np.concatenate([score, base[i] + w @ part[:, i].astype(np.float64)])
-            if len(best) > k:
-                top = np.lexsort((best, -score))[:k]
-                best, score = best[top], score[top]
-            least = score.min() if len(best) >= k else 0.0
-        top = np.lexsort((best, -score))[:k]
-        return best[top], score[top]
+        return self.nearest_all([(terms, weights)], k)[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of many vectors."""
+        out: list = [None] * len(vectors)
+        # vectors whose strongest common term is the same are multiplied together (texts of one language, mostly): they share terms
+        split = []
+        for terms, weights in vectors:
+            c = self.common[terms]
+            split.append((terms[c < 0], weights[c < 0], c[c >= 0], weights[c >= 0]))
+        order = sorted(range(len(vectors)), key=lambda i: split[i][2][split[i][3].argmax()] if len(split[i][2]) else -1)
+        for i in range(0, len(order), TOGETHER):
+            own = order[i : i + TOGETHER]
+            used, column = np.unique(np.concatenate([split[j][2] for j in own]), return_inverse=True)
+            queries = np.zeros((len(own), len(used)), np.float32)
+            queries[np.repeat(np.arange(len(own)), [len(split[j][2]) for j in own]), column] = np.concatenate([split[j][3] for j in own])
+            for j, sums in zip(own, queries @ self.dense[used]):
+                out[j] = self._best(*split[j], sums, k)
+        return out
+
+    def _best(self, rare: np.ndarray, impacts: np.ndarray, often: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of one vector, whose products with common terms are in `sums` in single precision: that chooses with
+        a margin what double precision then compares."""
+        first = self.starts[rare]
+        length = self.starts[rare + 1] - first
+        ends = np.cumsum(length)
+        found = self.postings.take(np.repeat(first - (ends - length), length) + np.arange(int(length.sum()))).view(np.int32)
+        base = np.bincount(found[::2], found.view(np.float32)[1::2] * np.repeat(impacts, length), minlength=self.size)
+        made = base + sums
+        least = np.partition(made, self.size - k)[self.size - k] if self.size > k else 0.0
+        i = np.flatnonzero((made > 0) & (made >= least - 2e-5))
+        score = base[i] + weights @ self.dense.take(often.astype(np.int64)[:, None] * self.size + i).astype(np.float64)
+        top = np.lexsort((i, -score))[:k]
+        return i[top], score[top]
 
 
 def _term_counts(sample: DataFrame) -> pa.Table:
@@ -238,8 +306,8 @@ def _frequencies(docs: DataFrame, text_col: str, model: Model) -> tuple[int, np.
         df = np.zeros(len(m.terms) + 1, np.int64)
         for b in batches:
             df[-1] += b.num_rows
-            for x in raw_texts(b, "text"):
-                df[m.held(x)] += 1
+            for _, terms, _ in m.counts(raw_texts(b, "text")):
+                df[:-1] += np.bincount(terms, minlength=len(m.terms))
         t = np.flatnonzero(df)
         for i in range(0, len(t), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000]), pa.array(df[t[i : i + 100_000]])], names=["term", "n"])
@@ -306,7 +374,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         m = shared.value
         claim("toxicity", m.forget)
         for b in batches:
-            made = [m.vector(x) for x in raw_texts(b, "text")]
+            made = list(m.vectors(raw_texts(b, "text")))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in made])]).astype(np.int32))
             flat = lambda k, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in made] or [np.zeros(0)]).astype(kind)))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat(0, np.int32), flat(1, np.float64)], names=["doc_id", "toxic", "terms", "weights"])
@@ -324,14 +392,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(model.ids):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             claim("toxicity", m.forget)
             for b in batches:
-                own = [(*m.vector(x), i) for x, i in zip(raw_texts(b, "text"), b.column(0).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.vote(t, w, but=i)[0] if len(t) else None for t, w, i in own], pa.float64())], names=["doc_id", "vote"])
+                own = [(*x, i) for x, i in zip(m.vectors(raw_texts(b, "text")), b.column(0).to_pylist())]
+                votes = m.votes([(t, w) for t, w, _ in own], but=[i for _, _, i in own])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v if len(t) else None for (v, _, _), (t, _, _) in zip(votes, own)], pa.float64())], names=["doc_id", "vote"])
 
-        voted = mapped(rows.select("doc_id", "text"), votes, "doc_id long, vote double").where("vote IS NOT NULL").toArrow().sort_by("doc_id")
+        voted = mapped(rows.select("doc_id", "text"), left_out, "doc_id long, vote double").where("vote IS NOT NULL").toArrow().sort_by("doc_id")
         model.curve = _isotonic(voted.column("vote").to_numpy(), model.labels, model.base)
         shared.destroy()
     return model
@@ -351,7 +420,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = shared.value
         claim("toxicity", m.forget)
         for b in batches:
-            made = [m.score(x) for x in raw_texts(b, text_col)]
+            made = list(m.scores(raw_texts(b, text_col)))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for _, i, _ in made])]).astype(np.int32))
             flat = lambda k, kind: pa.array(np.concatenate([x[k] for x in made] or [np.zeros(0)]).astype(kind))  # noqa: E731, B023
             evidence = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([flat(1, np.int64), flat(2, np.float64)], ["doc_id", "cosine"]))
