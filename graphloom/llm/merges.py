@@ -8,6 +8,7 @@ each round, so a batch of words takes as many rounds as its longest word has let
 from __future__ import annotations
 
 import json
+from itertools import compress
 
 import numpy as np
 import regex
@@ -17,6 +18,12 @@ LONGEST = 64
 #: Words of plain letters only, whatever their case: NFC and lower-casing change none of them beyond their own letters.
 _letters = regex.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xd0[\x90-\xbf]|\xd1[\x80-\x8f])+")
 _raised = regex.compile(rb"\xc3[\x80-\x9e]|\xd0[\x90-\xaf]")
+#: Of each two bytes: 1 if they are one of those letters, 2 if it is a capital.
+PAIRS = np.zeros(1 << 16, np.uint8)
+for _lead in b"\xc3\xd0\xd1":
+    for _next in range(0x80, 0xC0):
+        if _letters.fullmatch(bytes([_lead, _next])):
+            PAIRS[_lead << 8 | _next] = 2 if _raised.search(bytes([_lead, _next])) else 1
 
 
 def byte_letters() -> list[str]:
@@ -132,13 +139,20 @@ class Merges:
         return out
 
     def known(self, chunks: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes]]:
-        """Of chunks: the words of plain letters, the ids of each, and the other chunks."""
-        words = [c for c in chunks if len(c) <= LONGEST and c.isalpha() and c.islower()]
-        plain, other = list(words), []
-        for c in set(chunks).difference(words) if len(words) < len(chunks) else ():
-            if len(c) <= LONGEST and _letters.fullmatch(c):
-                words.append(c)
-                plain.append(c.decode().lower().encode() if _raised.search(c) else c)
-            else:
-                other.append(c)
-        return words, self.encode(plain), other
+        """Of chunks without line ends: the words of plain letters, the ids of each, and the other chunks."""
+        if not chunks:
+            return [], [], []
+        data = np.frombuffer(b"\n".join([*chunks, b""]), np.uint8)
+        pairs = PAIRS[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        fine = (data >= 97) & (data <= 122)
+        fine[:-1] |= pairs > 0
+        fine[1:] |= pairs > 0
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        plain = (np.add.reduceat(~fine, starts, dtype=np.int64) == 1) & (sizes > 0) & (sizes <= LONGEST)  # 1: the line end
+        raised = np.add.reduceat(np.append(pairs == 2, False), starts, dtype=np.int64)[plain] > 0
+        words, other = list(compress(chunks, plain.tolist())), list(compress(chunks, (~plain).tolist()))
+        lower = list(words)
+        for i in np.flatnonzero(raised).tolist():
+            lower[i] = words[i].decode().lower().encode()
+        return words, self.encode(lower), other

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import mapped, raw_texts
-from graphloom.llm.tokens import chunk_cache, chunks_of, groups
+from graphloom.llm.tokens import chunk_cache, groups
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections grow with n, attention with its square).
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -129,10 +130,9 @@ def pack(
             kind = b.schema.field(0).type
             at, own = 0, b.column(0).to_pylist()
             for part in groups(raw_texts(b, "text")):
-                chunked = [chunks_of(x) for x in part]
-                known = cache.learn(chunked)
-                for c in chunked:
-                    x = b"".join(map(known.__getitem__, c)) + end
+                flat, bounds = cache.texts(part)
+                for i, j in pairwise(bounds.tolist()):
+                    x = flat[i:j].tobytes() + end
                     keys.append(own[at])
                     ids.append(x)
                     at += 1

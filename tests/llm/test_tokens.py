@@ -128,3 +128,17 @@ def test_packing_cuts_only_what_fits_nowhere():
                 want.append((d, start, take, k, used[k]))
                 used[k], room[k], spent[k], start, n = used[k] + take, room[k] - take, spent[k] + cost(take), start + take, n - take
         assert made == want
+
+
+def test_parts_of_chunks_are_looked_up_once(monkeypatch):
+    """Chunks that differ only in closing marks share one look-up, and the ids of texts equal the library's."""
+    seen = []
+    learn = tokens.ChunkCache.learn
+    monkeypatch.setattr(tokens.ChunkCache, "learn", lambda self, chunks: learn(self, seen.append(list(chunks)) or seen[-1]))
+    words = ["été", "Éa", "thing", "中文", "x1", "don't", "***", "a.b", "ß", "yyy" * 30, "<|endoftext|>", "ŷ", "ж", "п́"]
+    texts = ["", " \n", *words, " ".join(w + t for w in words for t in ("", ".", "?!", "**", "%$|")), "a\x0bb\x0c\x1cc d.  "]
+    cache = tokens.ChunkCache(PATH, True)
+    ids, starts = cache.texts([x.encode() for x in texts])
+    assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == [library(x) for x in texts]
+    assert seen[-1].count(b"thing") == 1 and "été".encode() in seen[-1] and not {"été?!".encode(), b"thing."} & set(seen[-1])
+    assert not len(cache.texts([b"", b" "])[0])
