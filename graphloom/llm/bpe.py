@@ -1,7 +1,8 @@
 """BPE encoding and decoding with an own merge loop over a public vocabulary file.
 
 Encoding: a priority queue of merge ranks over a doubly linked list of symbols; an entry whose symbols have changed since
-it was queued is stale and skipped. Decoding: the vocabulary's strings, concatenated with the file's separator.
+it was queued is stale and skipped. Words of plain letters are merged together in arrays instead, in the same order (merges).
+Decoding: the vocabulary's strings, concatenated with the file's separator.
 """
 
 from __future__ import annotations
@@ -9,23 +10,23 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import CACHE_WORDS, OUT_BYTES, claim, mapped, raw_texts
 from graphloom.llm.merges import byte_letters
-from graphloom.llm.tokens import chunks_of, groups
+from graphloom.llm.tokens import ChunkCache, groups
 
 #: White space as the vocabulary's splitter knows it.
 SPACE = "\t-\r \x85\xa0  -     　"
 
-_models: dict[str, "WordBpe"] = {}
+_caches: dict[str, "Cache"] = {}
 
 
 class WordBpe:
@@ -49,7 +50,7 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
         self.words: dict[str, list[int]] = {}
-        self.chunks: dict[bytes, tuple[int, bytes, str]] = {}
+        self.table = pa.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)], pa.string())
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word. A byte that the vocabulary lacks is left out, as there is no unknown token."""
@@ -110,29 +111,29 @@ class WordBpe:
                     ids += known
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text that ids stand for."""
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts that ids of several texts, one after another, stand for."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.table.take(pa.array(ids))), " ")
 
-    def learn(self, chunked: list[list[bytes]]) -> dict[bytes, tuple[int, bytes, str]]:
-        """Number of ids, ids and decoded text of each white-space chunk."""
-        new = set(chain.from_iterable(chunked)).difference(self.chunks)
-        if len(self.chunks) + len(new) > CACHE_WORDS and self.chunks:
-            self.chunks.clear()
-            new = set(chain.from_iterable(chunked))
-        for c in new:
-            ids = self.encode(c.decode())
-            self.chunks[c] = (len(ids), np.asarray(ids, "<i4").tobytes(), self.decode(ids))
-        return self.chunks
 
+class Cache(ChunkCache):
+    """The ids of each chunk: words of plain letters merged together, all others one by one. Nothing goes to the library."""
 
-def model(path: str) -> WordBpe:
-    """This worker's model."""
-    if path not in _models:
-        _models[path] = WordBpe(path)
-    m = _models[path]
-    claim(f"bpe {path}", lambda: (m.words.clear(), m.chunks.clear()))
-    return m
+    def __init__(self, path: str):
+        super().__init__(path, True)
+        self.bpe = WordBpe(path)
+
+    def encoded(self, chunks: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        return ((c, np.asarray(self.bpe.encode(c.decode()), "<u4").tobytes()) for c in chunks)
+
+
+def cache(path: str) -> Cache:
+    """This worker's cache."""
+    if path not in _caches:
+        _caches[path] = Cache(path)
+    c = _caches[path]
+    claim(f"bpe {path}", lambda: (c.known.clear(), c.bpe.words.clear()))
+    return c
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,23 +144,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path)
+        own = cache(path)
         for b in batches:
             at = 0
             for part in groups(raw_texts(b, "text"), OUT_BYTES // 2):
-                chunked = [chunks_of(x) for x in part]
-                known = bpe.learn(chunked)
-                n, ids, texts = [], [], []
-                for c in chunked:
-                    found = [y for y in map(known.__getitem__, c) if y[0]]
-                    own = b"".join([y[1] for y in found])
-                    n.append(len(own) // 4)
-                    ids.append(own)
-                    texts.append(" ".join([y[2] for y in found]))
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                ids, offsets = own.texts(part)
+                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(texts, pa.string())],
+                    [b.column(0).slice(at, len(part)), pa.array(np.diff(offsets).astype(np.int64)), values, own.bpe.decode(ids, offsets)],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
                 at += len(part)

@@ -142,3 +142,17 @@ def test_parts_of_chunks_are_looked_up_once(monkeypatch):
     assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == [library(x) for x in texts]
     assert seen[-1].count(b"thing") == 1 and "été".encode() in seen[-1] and not {"été?!".encode(), b"thing."} & set(seen[-1])
     assert not len(cache.texts([b"", b" "])[0])
+
+
+def test_own_bpe_merges_plain_words_together(monkeypatch):
+    """Only what isn't a plain word is merged by itself; the ids and decoded texts equal the library's, and nothing goes to it."""
+    alone, merge = [], bpe.WordBpe.merge
+    monkeypatch.setattr(bpe.WordBpe, "merge", lambda self, word: merge(self, alone.append(word) or word))
+    monkeypatch.setattr(tokens, "tokenizer", None)
+    words = ["été", "Éa", "thing", "中文", "x1", "don't", "***", "a.b", "ß", "yyy" * 30, "<|endoftext|>", "ŷ", "ж", "п́"]
+    texts = ["", " \n", *words, " ".join(w + t for w in words for t in ("", ".", "?!", "**", "%$|")), "a\x0bb\x0c\x1cc d.  "]
+    cache = bpe.Cache(PATH)
+    ids, starts = cache.texts([x.encode() for x in texts])
+    assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == [library(x) for x in texts]
+    assert cache.bpe.decode(ids, starts).to_pylist() == [LIBRARY.decode(library(x), skip_special_tokens=False) for x in texts]
+    assert alone and not {"été".encode(), b"thing", "ж".encode()} & set(alone)
