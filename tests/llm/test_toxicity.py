@@ -110,7 +110,7 @@ def test_odd_rows(spark):
 
 
 def test_terms_of_many_texts_are_counted_at_once():
-    """Of every text all terms, each as often as word by word, for less than finding the words one by one costs."""
+    """Of every text all terms, each as often as word by word, for less than half of what finding the words one by one costs."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüßñ中", k=rng.randint(1, 11)))
     texts = [" ".join(word() for _ in range(500)) for _ in range(300)]
@@ -133,4 +133,4 @@ def test_terms_of_many_texts_are_counted_at_once():
     for x in texts:
         for c in x.split():
             toxicity.terms_of(c)
-    assert min(costs) < time.process_time() - began
+    assert min(costs) < 0.5 * (time.process_time() - began)
