@@ -82,3 +82,27 @@ def df_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+WINDOW = "SELECT ?p ?q WHERE { ?p <e:b> ?b ; <e:z> ?z . ?q <e:b> ?b ; <e:z> ?y . BIND(?z + 1 AS ?hi) FILTER(?y >= ?z - 1 && ?y <= ?hi && ?p != ?q) }"
+SIZES = ["5^^Long", "6^^Long", "6.5^^Double", "7^^Long", "-1^^Long", "0^^Long", "x^^String", "NaN^^Double", "Infinity^^Double", "-Infinity^^Double", "9007199254740993^^Long", "9007199254740994^^Long", "9007199254740995^^Long", "1.0E300^^Double", "<e:iri>"]
+
+
+def test_window_meets_only_near_numbers(spark):
+    quads = [q for i, o in enumerate(SIZES) for q in ((f"<e:{i}>", "<e:z>", o), (f"<e:{i}>", "<e:b>", "one^^String"))]
+    df = spark.createDataFrame(quads, "s string, p string, o string")
+    found = select(WINDOW, df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bin" in plan
+    # a function between makes no window: the filters alone decide
+    plain_form = select(WINDOW.replace("?y . BIND(?z + 1 AS ?hi)", "?y0 . BIND(COALESCE(?y0) AS ?y) BIND(?z + 1 AS ?hi)"), df)
+    assert "__bin" not in plain_form._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, plain_form.collect()))
+    assert ("<e:0>", "<e:1>") in rows and ("<e:1>", "<e:3>") in rows and ("<e:10>", "<e:11>") in rows and ("<e:10>", "<e:12>") not in rows and ("<e:4>", "<e:5>") in rows and ("<e:0>", "<e:3>") not in rows
+
+
+def test_window_of_texts_is_left_to_the_filters(spark):
+    df = spark.createDataFrame([("<e:1>", "<e:z>", "a^^String"), ("<e:1>", "<e:b>", "x^^String"), ("<e:2>", "<e:z>", "a^^String"), ("<e:2>", "<e:b>", "x^^String")], "s string, p string, o string")
+    q = "SELECT ?p ?q WHERE { ?p <e:b> ?b ; <e:z> ?z . ?q <e:b> ?b ; <e:z> ?y . FILTER(?y >= ?z && ?y <= ?z && ?p != ?q) }"
+    assert sorted(map(tuple, select(q, df).collect())) == [("<e:1>", "<e:2>"), ("<e:2>", "<e:1>")]
