@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import bounds, terms
@@ -29,10 +29,31 @@ def together(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return spread(left).hint("merge").join(spread(right), names)
 
 
+def _pairs(rows: DataFrame, test: Callable[[Callable, Callable], Column] | None = None) -> DataFrame:
+    """Pairs (s, o) of different subjects of which rows (s, parent, ...) with one parent pass the test, each pair once. Two
+    subjects with one row each meet once; only pairs with a subject of several rows have to be made distinct."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("s"))).repartition(parts, "parent")
+    kept = [c for c in own.columns if c != "parent"]
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select("parent", *[F.col(c).alias(f"other_{c}") for c in kept])
+        both = a.hint("merge").join(b, "parent").where(F.col("s") != F.col("other_s"))
+        if test is not None:
+            both = both.where(test(F.col, lambda c: F.col(f"other_{c}")))
+        return both
+
+    end = [F.col("s"), F.col("other_s").alias("o")]
+    once = met(own, own).where(F.col("rows") + F.col("other_rows") == 2).select(*end)
+    several = own.where(F.col("rows") > 1)
+    more = F.col("rows") + F.col("other_rows") > 2  # of the same columns as above, so that one shuffle serves both
+    again = met(several, own).where(more).select(*end).unionByName(met(own, several).where(more).select(*end)).distinct()
+    return once.unionByName(again)
+
+
 def siblings(quads: DataFrame, predicate: str = SEGMENT_OF) -> DataFrame:
     """Pairs of different segments of one parent."""
-    own = quads.where(F.col("p") == predicate).select("s", F.col("o").alias("parent"))
-    return own.join(own.withColumnRenamed("s", "o"), "parent").where("s <> o").select("s", "o").distinct()
+    return _pairs(quads.where(F.col("p") == predicate).select("s", F.col("o").alias("parent")))
 
 
 def _bounded(quads: DataFrame, bounds_of: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from graphloom.functions import bounds, terms
+from graphloom.operators import relations
 from graphloom.plans import queries as graph
 from graphloom.plans.sparql import json_rows, select
 from graphloom.sources import files
@@ -106,3 +107,24 @@ def test_window_of_texts_is_left_to_the_filters(spark):
     df = spark.createDataFrame([("<e:1>", "<e:z>", "a^^String"), ("<e:1>", "<e:b>", "x^^String"), ("<e:2>", "<e:z>", "a^^String"), ("<e:2>", "<e:b>", "x^^String")], "s string, p string, o string")
     q = "SELECT ?p ?q WHERE { ?p <e:b> ?b ; <e:z> ?z . ?q <e:b> ?b ; <e:z> ?y . FILTER(?y >= ?z && ?y <= ?z && ?p != ?q) }"
     assert sorted(map(tuple, select(q, df).collect())) == [("<e:1>", "<e:2>"), ("<e:2>", "<e:1>")]
+
+
+def _family(spark):
+    """Subjects with one parent, with two, with a fact twice, and with two bounds."""
+    of, box = relations.SEGMENT_OF, relations.SEGMENT_BOUNDS
+    facts = [("a", "p"), ("b", "p"), ("b", "p"), ("c", "p"), ("c", "q"), ("d", "q"), ("d", "p"), ("e", "r")]
+    spans = [("a", 0, 2), ("b", 1, 3), ("c", 1, 3), ("d", 0, 9), ("d", 1, 3), ("e", 0, 1)]
+    quads = [(f"<e:{s}>", of, f"<e:{o}>") for s, o in facts] + [(f"<e:{s}>", box, f"{x},{y},{x},{y},-,-,{x},{y}^^String") for s, x, y in spans]
+    return spark.createDataFrame(quads, "s string, p string, o string"), facts, spans
+
+
+def test_sibling_pairs_come_once_without_a_distinct_of_all(spark):
+    df, facts, spans = _family(spark)
+    near = lambda test: sorted({(f"<e:{a}>", f"<e:{b}>") for a, p in facts for b, q in facts if p == q and a != b and test(a, b)})
+    cases = {
+        "siblings": (relations.siblings(df), lambda a, b: True),
+    }
+    for name, (found, test) in cases.items():
+        assert sorted(map(tuple, found.collect())) == near(test), name
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert plan[0].startswith("Union") and sum("Aggregate" in line for line in plan) == 1, name
