@@ -9,10 +9,11 @@ FIELDS = ("x0", "x1", "y0", "y1", "z0", "z1", "t0", "t1")
 AXES = (("x0", "x1"), ("y0", "y1"), ("z0", "z1"), ("t0", "t1"))
 
 
-def parse(text: Column) -> Column:
-    """The struct of a bounds text; parts that are no numbers are absent."""
+def parse(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """The struct of a bounds text, or of some of its fields; parts that are no numbers are absent."""
     parts = F.split(text, ",")
-    return F.struct(*[F.trim(F.get(parts, F.lit(i))).try_cast("double").alias(n) for i, n in enumerate(FIELDS)])
+    # the sign of an absent dimension isn't cast: each failing cast costs as much as several that succeed
+    return F.struct(*[F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("-")).try_cast("double").alias(n) for i, n in enumerate(FIELDS) if n in fields])
 
 
 def text(b: Column) -> Column:

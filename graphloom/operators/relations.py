@@ -56,27 +56,25 @@ def siblings(quads: DataFrame, predicate: str = SEGMENT_OF) -> DataFrame:
     return _pairs(quads.where(F.col("p") == predicate).select("s", F.col("o").alias("parent")))
 
 
-def _bounded(quads: DataFrame, bounds_of: str) -> tuple[DataFrame, DataFrame]:
-    """Siblings' bounds twice: (parent, s, b) and (parent, o, c)."""
+def _bounded(quads: DataFrame, bounds_of: str, fields: tuple[str, ...] = bounds.FIELDS) -> DataFrame:
+    """Segments with their parent and these fields of their bounds: (s, parent, b)."""
     parent = quads.where(F.col("p") == SEGMENT_OF).select("s", F.col("o").alias("parent"))
-    own = parent.join(quads.where(F.col("p") == bounds_of).select("s", bounds.parse(terms.lexical(F.col("o"))).alias("b")), "s")
-    return own, own.select("parent", F.col("s").alias("o"), F.col("b").alias("c"))
+    held = quads.where(F.col("p") == bounds_of).select("s", bounds.parse(terms.lexical(F.col("o")), fields).alias("b"))
+    return parent.repartition("s").hint("merge").join(held.repartition("s"), "s")
 
 
 def spatial(quads: DataFrame, name: str, compatible: bool = False) -> DataFrame:
     """Pairs of siblings whose bounds stand in the relation: an equi-join on the parent with a predicate on columns. The
     compatible meaning of a few relations is that of bounds.COMPATIBLE."""
-    own, other = _bounded(quads, SEGMENT_BOUNDS)
     test = (bounds.COMPATIBLE if compatible else bounds.SPATIAL)[name]
-    return own.join(other, "parent").where((F.col("s") != F.col("o")) & test(F.col("b"), F.col("c"))).select("s", "o").distinct()
+    return _pairs(_bounded(quads, SEGMENT_BOUNDS), lambda a, b: test(a("b"), b("b")))
 
 
 def temporal(quads: DataFrame, name: str, kind: str = "segment") -> DataFrame:
     """Pairs of siblings whose time bounds stand in the relation: those of the segments, or (kind object) those of the
     objects that they are."""
-    own, other = _bounded(quads, SEGMENT_BOUNDS if kind == "segment" else BOUNDS)
-    test = bounds.interval(name, F.col("b.t0"), F.col("b.t1"), F.col("c.t0"), F.col("c.t1"))
-    return own.join(other, "parent").where((F.col("s") != F.col("o")) & test).select("s", "o").distinct()
+    own = _bounded(quads, SEGMENT_BOUNDS if kind == "segment" else BOUNDS, ("t0", "t1"))
+    return _pairs(own, lambda a, b: bounds.interval(name, a("b")["t0"], a("b")["t1"], b("b")["t0"], b("b")["t1"]))
 
 
 def same_prefix(quads: DataFrame, bound: str | None = None) -> DataFrame:

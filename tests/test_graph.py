@@ -121,8 +121,12 @@ def _family(spark):
 def test_sibling_pairs_come_once_without_a_distinct_of_all(spark):
     df, facts, spans = _family(spark)
     near = lambda test: sorted({(f"<e:{a}>", f"<e:{b}>") for a, p in facts for b, q in facts if p == q and a != b and test(a, b)})
+    any_span = lambda test: lambda a, b: any(test(x, y) for x in spans for y in spans if x[0] == a and y[0] == b)
     cases = {
         "siblings": (relations.siblings(df), lambda a, b: True),
+        "crosses": (relations.spatial(df, "crosses"), any_span(lambda x, y: x[1] <= y[2] and x[2] >= y[1])),
+        "after": (relations.temporal(df, "after"), any_span(lambda x, y: x[1] >= y[2])),
+        "overlaps": (relations.temporal(df, "overlaps"), any_span(lambda x, y: x[1] < y[1] < x[2] < y[2] or y[1] < x[1] < y[2] < x[2])),
     }
     for name, (found, test) in cases.items():
         assert sorted(map(tuple, found.collect())) == near(test), name
