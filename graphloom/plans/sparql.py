@@ -807,8 +807,10 @@ class Compiler:
         if e and e[0] == "call" and e[1] in ACCESSORS and len(e[2]) == 1 and e[2][0][0] == "var" and e[2][0][1] in df.columns:
             n, made = e[2][0][1], f"__{ACCESSORS[e[1]]}_{e[2][0][1]}"
             if made not in df.columns:
-                held = of_predicates(self.quads, [f"<{relations.SCHEMA}{ACCESSORS[e[1]]}>"]).groupBy(F.col("s").alias(n)).agg(F.min("o").alias(made))
-                df = df.join(held, n, "left").withColumn(made, F.when(terms.is_iri(F.col(n)), F.col(made)).otherwise(F.col(n)))
+                # spread by subject first: one file's rows would else be sorted by the task that reads them
+                own = of_predicates(self.quads, [f"<{relations.SCHEMA}{ACCESSORS[e[1]]}>"]).repartition("s")
+                held = own.groupBy(F.col("s").alias(n)).agg(F.min("o").alias(made))
+                df = df.join(held.hint("merge"), n, "left").withColumn(made, F.when(terms.is_iri(F.col(n)), F.col(made)).otherwise(F.col(n)))
             return ("call", e[1], [("var", made)]), df
         out = []
         for x in e:

@@ -168,3 +168,13 @@ def test_vector_pairs_over_several_blocks(spark, monkeypatch):
     for r in similarity.knn_graph(df, 4).orderBy("s", "rank").collect():
         found.setdefault(r.s, []).append(r.o)
     assert found == want
+
+
+def test_accessors_spread_bounds_before_they_group_them(spark):
+    box = f"<{relations.SCHEMA}bounds>"
+    df = spark.createDataFrame([("<e:a>", "<e:p>", "<e:b>"), ("<e:c>", "<e:p>", "<e:d>"), ("<e:a>", box, "2,5,-,-,-,-,-,-^^String"), ("<e:a>", box, "1,5,-,-,-,-,-,-^^String")], "s string, p string, o string")
+    found = select("SELECT ?a (WIDTH(?a) AS ?w) WHERE { ?a <e:p> ?b }", df)
+    assert sorted(map(tuple, found.collect()), key=str) == [("<e:a>", "4.0^^Double"), ("<e:c>", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert "RepartitionByExpression" in plan[at + 1]
